@@ -35,7 +35,7 @@ def formatting_copies(rows: DataFrame, *, id_col: str = "ord", title_col: str =
     """
     t = stripped(F.col(title_col))
     base = rows.select(F.col(id_col).alias("id"), t.alias("t"), F.coalesce(bare_doi(F.col(doi_col)), F.lit("")).alias("d")).where("t <> ''")
-    counts = [F.length("t") - F.length(F.translate("t", ch, "")) for ch in HISTOGRAM]
+    counts = [F.length("t") - F.length(F.replace("t", F.lit(ch), F.lit(""))) for ch in HISTOGRAM]
     cheap = F.xxhash64(F.length("t"), F.length("d"), *counts)
     inv = base.withColumn("inv", cheap)
     several = inv.groupBy("inv").agg(F.count("*").alias("n")).where("n > 1").select("inv")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revisio.llm import copies, looks, tokens
+from revisio.llm import copies, cuts, looks, tokens
 from revisio.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "p3_found": lambda s, d: copies.copy_links(table(s, d, "records")),
         "p5_found": lambda s, d: looks.same_looking_pairs(table(s, d, "records")),
+        "p6_found": lambda s, d: cuts.cut_rows(table(s, d, "records"), table(s, d, "fulltext")),
+        "p6_shares": lambda s, d: cuts.cut_shares(table(s, d, "records"), table(s, d, "fulltext")),
         "p7_ids": lambda s, d: tokens.encode_corpus(table(s, d, "documents")),
     }
 
