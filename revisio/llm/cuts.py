@@ -35,61 +35,74 @@ SPIKE_ROWS = 6
 CLEAN_BY_CHANCE = 0.011
 
 
-def lengths(x: Column) -> dict[str, Column]:
-    """The length of a text under each encoding."""
+#: Characters that some encoding lengthens or that open and close.
+SIGNS = r"""[^&<>"'\\\n\r\t()（）«»「」『』„“”]+"""
+#: An ending is looked for in so many last characters.
+END = 400
+
+
+def _count(signs: Column, *wanted: str) -> Column:
+    return reduce(lambda a, b: a + b, [F.length(signs) - F.length(F.replace(signs, F.lit(ch), F.lit(""))) for ch in wanted])
+
+
+def lengths(x: Column, signs: Column) -> dict[str, Column]:
+    """The length of a text under each encoding; ``signs`` are its special characters."""
     chars = F.length(x)
-    extra = lambda signs, more: reduce(lambda a, b: a + b, [more * (chars - F.length(F.replace(x, F.lit(ch), F.lit("")))) for ch in signs])
+    beyond = F.when(F.octet_length(x) > chars, chars - F.length(F.regexp_replace(x, r"[^\x00-\x7f]+", ""))).otherwise(0)
     return {
         "chars": chars,
         "bytes": F.octet_length(x),
-        "entities": chars + extra("&", 4) + extra("<>", 3) + extra("\"", 5) + extra("'", 4),
-        "json": chars + extra("\"\\\n\r\t", 1) + 5 * (chars - F.length(F.regexp_replace(x, r"[^\x00-\x7f]", ""))),
-        "crlf": chars + extra("\n", 1),
+        "entities": chars + 4 * _count(signs, "&", "'") + 3 * _count(signs, "<", ">") + 5 * _count(signs, "\""),
+        "json": chars + _count(signs, "\"", "\\", "\n", "\r", "\t") + 5 * beyond,
+        "crlf": chars + _count(signs, "\n"),
     }
 
 
-def _open(x: Column) -> Column:
+def _open(signs: Column, end: Column) -> Column:
     """Whether a bracket or quotation is left open."""
-    n = lambda ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
-    pairs = [n("(") + n("（") > n(")") + n("）"), n("«") > n("»"), n("「") > n("」"), n("『") > n("』"), n("\"") % 2 == 1]
+    n = lambda *ch: _count(signs, *ch)
+    pairs = [n("(", "（") > n(")", "）"), n("«") > n("»"), n("「") > n("」"), n("『") > n("』"), n("\"") % 2 == 1]
     low = n("„")
-    pairs += [F.when(low > 0, low > n("“")).otherwise(n("“") > n("”")), x.rlike(r"(^|\s)'[^']*$")]
+    pairs += [F.when(low > 0, low > n("“")).otherwise(n("“") > n("”")), end.rlike(r"(^|\s)'[^']*$")]
     return reduce(lambda a, b: a | b, pairs)
 
 
-def _ending(x: Column) -> Column:
+def _ending(end: Column, signs: Column, gap: Column) -> Column:
     """How a text ends: gap, cut, label, word (a short word with a stop) or clean."""
     label = r"\b(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"
     number = r"(?:\bCI|[=–±-]|\b[a-z]{2,})\s\d{1,3}\.$"
     return (
-        F.when(x.isNull() | x.rlike(PLACEHOLDER), "gap")
-        .when(x.rlike(MARKER) | x.rlike(r"</?[\w:]{0,20}$") | _open(x), "cut")
-        .when(x.rlike(label), "label")
-        .when(~x.rlike(CLOSED) | x.rlike(number) | x.rlike(r"(^|[\s(])\p{Lu}\.$|[,;:]\)?\.?$"), "cut")
-        .when(x.rlike(SHORT_WORD + "$"), "word")
+        F.when(gap, "gap")
+        .when(F.right(end, F.lit(40)).rlike(MARKER + r"|</?[\w:]{0,20}$") | _open(signs, end), "cut")
+        .when(end.rlike(label), "label")
+        .when(~F.right(end, F.lit(12)).rlike(CLOSED) | F.right(end, F.lit(30)).rlike(number + r"|(^|[\s(])\p{Lu}\.$|[,;:]\)?\.?$"), "cut")
+        .when(F.right(end, F.lit(20)).rlike(SHORT_WORD + "$"), "word")
         .otherwise("clean")
     )
 
 
 def inspected(texts: DataFrame) -> DataFrame:
     """For ``(tbl, row_id, source, text)``: lengths, the kind of ending and what is needed to judge it."""
-    x = F.regexp_replace(F.regexp_replace("text", r"[\p{Zs}\p{Cf}]+", " "), r"(</[\w:]+>\s*)+$|\s+$", "")
-    t = texts.withColumn("x", x)
+    end = F.regexp_replace(F.regexp_replace(F.right("text", F.lit(END)), r"[\p{Zs}\p{Cf}]+", " "), r"(</[\w:]+>\s*)+$|\s+$", "")
+    gap = F.col("text").isNull() | ((F.length("text") < 60) & F.col("text").rlike(PLACEHOLDER))
+    t = texts.select("*", end.alias("x"), F.regexp_replace("text", SIGNS, "").alias("signs"), gap.alias("gap"))
     src = F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim("source")), r"\s+", " "), F.lit("")), F.lit("(none)"))
     tail = F.trim(F.regexp_replace(F.lower(F.regexp_extract("x", r"[:;,]\s*([^:;,]*)$", 1)), r"\d", "9"))
-    n = lengths(F.col("text"))
+    n = lengths(F.col("text"), F.col("signs"))
     return t.select(
-        "tbl", "row_id", src.alias("source"), *[n[e].alias(e) for e in ENCODINGS], _ending(F.col("x")).alias("kind"), F.xxhash64("text").alias("h"),
-        F.regexp_extract("x", SHORT_WORD + "$", 0).alias("word"), F.when(F.col("x").rlike("(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"), tail).alias("tail"),
+        "tbl", "row_id", src.alias("source"), *[n[e].alias(e) for e in ENCODINGS], _ending(F.col("x"), F.col("signs"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("h"),
+        F.regexp_extract(F.right("x", F.lit(20)), SHORT_WORD + "$", 0).alias("word"), F.when(F.col("x").rlike("(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"), tail).alias("tail"),
     )
 
 
 def abbreviations(texts: DataFrame) -> DataFrame:
     """``(word)``: short words with a stop after which texts mostly go on in lower case or with a digit."""
-    hits = texts.select(F.explode(F.regexp_extract_all("text", F.lit(SHORT_WORD + r"[ \n]\S"), F.lit(0))).alias("m"))
+    parts = texts.select(F.split("text", r"\.[ \n]").alias("p")).where("size(p) > 1")
+    last_and_next = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat(F.substring_index(F.element_at("p", i), " ", -1), F.lit(". "), F.substring(F.element_at("p", i + 1), 1, 1)))
+    hits = parts.select(F.explode(F.filter(last_and_next, lambda m: F.length(m) < 14)).alias("m")).where(F.length("m") > 2)
     n = hits.groupBy("m").count()
-    by = n.groupBy(F.regexp_extract("m", r"^(\S+)", 1).alias("word")).agg(F.sum(F.when(F.col("m").rlike(r"[\p{Ll}\d(]$"), F.col("count")).otherwise(0)).alias("low"), F.sum("count").alias("all"))
-    return by.where("low * 2 > all").select("word")
+    by = n.groupBy(F.regexp_extract("m", SHORT_WORD + r"(?= \S$)", 0).alias("word")).agg(F.sum(F.when(F.col("m").rlike(r"[\p{Ll}\d(]$"), F.col("count")).otherwise(0)).alias("low"), F.sum("count").alias("all"))
+    return by.where("word <> '' and low * 2 > all").select("word")
 
 
 def limits(rows: DataFrame) -> DataFrame:
