@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revisio.llm import copies, cuts, looks, tokens
+from revisio.llm import consensus, copies, cuts, looks, tokens
 from revisio.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p3_found": lambda s, d: copies.copy_links(table(s, d, "records")),
+        "p4_found": lambda s, d: consensus.unsupported(table(s, d, "screening"), table(s, d, "screening_log")),
+        "p4_consensus": lambda s, d: consensus.consensus(table(s, d, "screening"), table(s, d, "screening_log")),
+        "p4_raters": lambda s, d: consensus.reliability(table(s, d, "screening"), table(s, d, "screening_log")),
         "p5_found": lambda s, d: looks.same_looking_pairs(table(s, d, "records")),
         "p6_found": lambda s, d: cuts.cut_rows(table(s, d, "records"), table(s, d, "fulltext")),
         "p6_shares": lambda s, d: cuts.cut_shares(table(s, d, "records"), table(s, d, "fulltext")),
