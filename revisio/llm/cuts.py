@@ -58,22 +58,20 @@ def lengths(x: Column, signs: Column) -> dict[str, Column]:
     }
 
 
-def _open(signs: Column, end: Column) -> Column:
-    """Whether a bracket or quotation is left open."""
-    n = lambda *ch: _count(signs, *ch)
-    pairs = [n("(", "（") > n(")", "）"), n("«") > n("»"), n("「") > n("」"), n("『") > n("』"), n("\"") % 2 == 1]
-    low = n("„")
-    pairs += [F.when(low > 0, low > n("“")).otherwise(n("“") > n("”")), end.rlike(r"(^|\s)'[^']*$")]
-    return reduce(lambda a, b: a | b, pairs)
+def _open(end: Column) -> Column:
+    """Whether a bracket or quotation that opens near the end stays open."""
+    quote = r"[(（][^)）]*$|«[^»]*$|「[^」]*$|『[^』]*$|(?:^|[\s(（])[\"'](?=\S)[^\"']*$"
+    high = F.when(end.contains("„"), end.rlike(r"„[^“]*$")).otherwise(end.rlike(r"“[^”]*$"))
+    return end.rlike(quote) | high
 
 
-def _ending(end: Column, signs: Column, gap: Column) -> Column:
+def _ending(end: Column, gap: Column) -> Column:
     """How a text ends: gap, cut, label, word (a short word with a stop) or clean."""
     label = r"\b(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"
     number = r"(?:\bCI|[=–±-]|\b[a-z]{2,})\s\d{1,3}\.$"
     return (
         F.when(gap, "gap")
-        .when(F.right(end, F.lit(40)).rlike(MARKER + r"|</?[\w:]{0,20}$") | _open(signs, end), "cut")
+        .when(F.right(end, F.lit(40)).rlike(MARKER + r"|</?[\w:]{0,20}$") | _open(end), "cut")
         .when(end.rlike(label), "label")
         .when(~F.right(end, F.lit(12)).rlike(CLOSED) | F.right(end, F.lit(30)).rlike(number + r"|(^|[\s(])\p{Lu}\.$|[,;:]\)?\.?$"), "cut")
         .when(F.right(end, F.lit(20)).rlike(SHORT_WORD + "$"), "word")
@@ -81,16 +79,17 @@ def _ending(end: Column, signs: Column, gap: Column) -> Column:
     )
 
 
-def inspected(texts: DataFrame) -> DataFrame:
+def inspected(texts: DataFrame, with_lengths: bool = True) -> DataFrame:
     """For ``(tbl, row_id, source, text)``: lengths, the kind of ending and what is needed to judge it."""
     end = F.regexp_replace(F.regexp_replace(F.right("text", F.lit(END)), r"[\p{Zs}\p{Cf}]+", " "), r"(</[\w:]+>\s*)+$|\s+$", "")
     gap = F.col("text").isNull() | ((F.length("text") < 60) & F.col("text").rlike(PLACEHOLDER))
-    t = texts.select("*", end.alias("x"), F.regexp_replace("text", SIGNS, "").alias("signs"), gap.alias("gap"))
+    signs = [F.regexp_replace("text", SIGNS, "").alias("signs")] if with_lengths else []
+    t = texts.select("*", end.alias("x"), *signs, gap.alias("gap"))
     src = F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim("source")), r"\s+", " "), F.lit("")), F.lit("(none)"))
     tail = F.trim(F.regexp_replace(F.lower(F.regexp_extract("x", r"[:;,]\s*([^:;,]*)$", 1)), r"\d", "9"))
-    n = lengths(F.col("text"), F.col("signs"))
+    n = lengths(F.col("text"), F.col("signs")) if with_lengths else {}
     return t.select(
-        "tbl", "row_id", src.alias("source"), *[n[e].alias(e) for e in ENCODINGS], _ending(F.col("x"), F.col("signs"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("h"),
+        "tbl", "row_id", src.alias("source"), *[c.alias(e) for e, c in n.items()], _ending(F.col("x"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("h"),
         F.regexp_extract(F.right("x", F.lit(20)), SHORT_WORD + "$", 0).alias("word"), F.when(F.col("x").rlike("(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"), tail).alias("tail"),
     )
 
@@ -131,21 +130,34 @@ def corpus(records: DataFrame, fulltext: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def judged(texts: DataFrame) -> DataFrame:
-    """``(tbl, row_id, source, cut)`` of every row; null, empty, blank and placeholder texts are not cut."""
-    rows = written(inspected(texts), "cuts")
+def _by_ending(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with ``cut``: whether the ending alone shows a cut."""
     short = abbreviations(texts).withColumn("abbr", F.lit(True))
     # an unterminated closing line is whole if its value is a usual one and not the start of a far more usual one
     tails = rows.where("kind = 'label' and tail <> ''").groupBy("tail").agg(F.countDistinct("h").alias("n"))
     begun = tails.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("tail") - 1, F.lit(1))), lambda i: F.substring("tail", F.lit(1), i))).alias("tail"), "n", F.col("tail").alias("whole"))
     begun = begun.where("tail <> whole").groupBy("tail").agg(F.max("n").alias("longer"))
     usual = tails.join(begun, "tail", "left").select("tail", ((F.col("n") >= 2) & (F.coalesce("longer", F.lit(0)) < 12 * F.col("n"))).alias("usual_tail"))
-    lim = limits(rows).where("explained").select("tbl", "source", F.col("encoding"), F.col("length")).groupBy("tbl", "source").agg(F.collect_set(F.struct("encoding", "length")).alias("at"))
-    j = rows.join(short, "word", "left").join(usual, "tail", "left").join(lim, ["tbl", "source"], "left")
-    at_limit = reduce(lambda a, b: a | b, [F.array_contains("at", F.struct(F.lit(e).alias("encoding"), F.col(e).alias("length"))) for e in ENCODINGS])
+    j = rows.join(short, "word", "left").join(usual, "tail", "left")
     weak = (F.col("kind") == "word") & F.col("abbr")
-    cut = (F.col("kind") == "cut") | weak | ((F.col("kind") == "label") & ~F.coalesce("usual_tail", F.lit(False))) | (F.col("kind").isin("clean", "word") & F.coalesce(at_limit, F.lit(False)))
-    return j.select("tbl", "row_id", "source", F.coalesce(cut, F.lit(False)).alias("cut"), (F.col("kind") == "gap").alias("gap"))
+    cut = (F.col("kind") == "cut") | weak | ((F.col("kind") == "label") & ~F.coalesce("usual_tail", F.lit(False)))
+    return j.withColumn("cut", F.coalesce(cut, F.lit(False)))
+
+
+def ended(texts: DataFrame) -> DataFrame:
+    """``(row_id, cut, gap)`` by the endings alone, for texts whose sources are of no interest."""
+    rows = written(inspected(texts, with_lengths=False), "ends")
+    return _by_ending(rows, texts).select("row_id", "cut", (F.col("kind") == "gap").alias("gap"))
+
+
+def judged(texts: DataFrame) -> DataFrame:
+    """``(tbl, row_id, source, cut, gap)`` of every row; null, empty, blank and placeholder texts are not cut."""
+    rows = written(inspected(texts), "cuts")
+    lim = limits(rows).where("explained").groupBy("tbl", "source").agg(F.collect_set(F.struct("encoding", "length")).alias("at"))
+    j = _by_ending(rows, texts).join(lim, ["tbl", "source"], "left")
+    at_limit = reduce(lambda a, b: a | b, [F.array_contains("at", F.struct(F.lit(e).alias("encoding"), F.col(e).alias("length"))) for e in ENCODINGS])
+    cut = F.col("cut") | (F.col("kind").isin("clean", "word") & F.coalesce(at_limit, F.lit(False)))
+    return j.select("tbl", "row_id", "source", cut.alias("cut"), (F.col("kind") == "gap").alias("gap"))
 
 
 def cut_rows(records: DataFrame, fulltext: DataFrame) -> DataFrame:
