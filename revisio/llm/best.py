@@ -91,7 +91,7 @@ def plain_whole(text: Column) -> Column:
 
     Cyrillic and Greek letters are ordinary in texts that also have letters of
     that script that no Latin letter looks like; full-width punctuation is
-    ordinary beside ideographs.
+    ordinary beside ideographs.  A text given twice over is not alone.
     """
     native = text.rlike("[бгджзийлптфцчшщыьэюяБГДЖЗИЛПФЦЧШЩЭЮЯ]")
     mixed = text.rlike(r"\p{IsLatin}[\p{IsCyrillic}]|[\p{IsCyrillic}]\p{IsLatin}")
@@ -99,7 +99,9 @@ def plain_whole(text: Column) -> Column:
     cyr = text.rlike("[" + looks.CYRILLIC + "]") & (~native | mixed)
     greek = text.rlike("[" + looks.GREEK + "]") & ~text.rlike("[δεζηθλξπστφχψω]")
     wide = text.rlike("[，（）！？：；]") & ~text.rlike(r"[぀-鿿]")
-    return ~((~looks.is_plain(text) & (odd | cyr | greek | wide)) | text.rlike(ADDED))
+    half = F.floor((F.length(text) - 1) / 2).cast("int")
+    twice = (F.length(text) > 40) & (F.left(text, half) == F.right(text, half))
+    return ~(twice | (~looks.is_plain(text) & (odd | cyr | greek | wide)) | text.rlike(ADDED))
 
 
 def precedence(firsts: DataFrame, states: tuple[str, ...]) -> dict[str, int]:
@@ -123,6 +125,7 @@ def precedence(firsts: DataFrame, states: tuple[str, ...]) -> dict[str, int]:
 def surviving(records: DataFrame, trust: DataFrame) -> DataFrame:
     """``(first_ord, field, best)`` of each study with two or more rows; fields that no row can fill are absent.
 
+    A year is possible from 1800 to the year after the newest retrieval.
     ``abstract``: the least ``ord``, as text, of the rows whose abstract is the
     study's whole abstract, plain and alone; of several such texts the one in
     most rows counts, then the shortest.  ``doi``, ``source``, ``year``: from
@@ -142,8 +145,8 @@ def surviving(records: DataFrame, trust: DataFrame) -> DataFrame:
     ends = cuts.ended(records.select(F.lit("records").alias("tbl"), F.col("ord").alias("row_id"), "source", F.col("abstract").alias("text"))).withColumnRenamed("row_id", "ord")
     rows = written(member.join(several, "study").join(base, "ord").join(ends, "ord").join(src, "s", "left"), "study-rows")
     rows = rows.withColumn("rank", F.coalesce("trust_rank", F.lit(2**31 - 1)))
-    last_year = F.coalesce(F.year("at"), F.year(F.current_date())) + 1
-    ok_year = F.col("year").between(EARLIEST, last_year)
+    newest = rows.agg(F.max(F.year("at"))).first()[0]
+    ok_year = F.col("year").between(EARLIEST, newest + 1 if newest else 2**31 - 1)
     state = {
         "doi": F.when(F.col("doi").isNull(), "none").when(F.col("kind") == "preprint", "preprint").otherwise("final"),
         "year": F.when(F.col("year").isNull(), "none").when(ok_year, "possible").otherwise("impossible"),
