@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revisio.llm import best, consensus, copies, cuts, looks, tokens
+from revisio.llm import best, consensus, copies, cuts, looks, mixing, sentences, tokens
 from revisio.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "p6_found": lambda s, d: cuts.cut_rows(table(s, d, "records"), table(s, d, "fulltext")),
         "p6_shares": lambda s, d: cuts.cut_shares(table(s, d, "records"), table(s, d, "fulltext")),
         "p7_ids": lambda s, d: tokens.encode_corpus(table(s, d, "documents")),
+        "p8_mix": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: sentences.sentence_ends(table(s, d, "documents")),
     }
 
 
