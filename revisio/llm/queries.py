@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revisio.llm import best, consensus, copies, cuts, looks, mixing, sentences, tokens
+from revisio.llm import best, consensus, copies, cuts, looks, mixing, scans, sentences, tokens
 from revisio.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: best.surviving(table(s, d, "records"), table(s, d, "source_trust")),
+        "p2_found": lambda s, d: scans.noise(table(s, d, "pdf_documents")),
+        "p2_paragraphs": lambda s, d: scans.paragraphs(table(s, d, "pdf_documents")),
         "p3_found": lambda s, d: copies.copy_links(table(s, d, "records")),
         "p4_found": lambda s, d: consensus.unsupported(table(s, d, "screening"), table(s, d, "screening_log")),
         "p4_consensus": lambda s, d: consensus.consensus(table(s, d, "screening"), table(s, d, "screening_log")),
