@@ -30,7 +30,8 @@ EARLIEST = 1800
 CAPITALS = "АВЕКМНОРСТУХІЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 CAPITALS_LATIN = "ABEKMHOPCTYXISJABEZHIKMNOPTYX"
 #: What publishers and indexes add to an abstract.
-ADDED = r"(?i)^\W*abstract\b|<[^<>]+>|&(lt|gt|amp|quot|apos|nbsp|#\d+);|all rights reserved|copyright\s*(©|\(c\)|\d{4})|©"
+ADDED_BEFORE = r"(?i)^\W*abstract\b"
+ADDED_AFTER = r"(?i)all rights reserved|copyright\s*(©|\(c\)|\d{4})|©"
 SPLIT_STATES = {"doi": ("none", "preprint", "final"), "year": ("none", "impossible", "possible"), "abstract": ("gap", "cut", "mixed", "whole")}
 
 
@@ -93,15 +94,17 @@ def plain_whole(text: Column) -> Column:
     that script that no Latin letter looks like; full-width punctuation is
     ordinary beside ideographs.  A text given twice over is not alone.
     """
-    native = text.rlike("[бгджзийлптфцчшщыьэюяБГДЖЗИЛПФЦЧШЩЭЮЯ]")
-    mixed = text.rlike(r"\p{IsLatin}[\p{IsCyrillic}]|[\p{IsCyrillic}]\p{IsLatin}")
-    odd = text.rlike("[" + looks.BLANKS + looks.INVISIBLE + "‐‑" + "".join(looks.LIGATURES) + "０-９Ａ-Ｚａ-ｚ．－％＝＜＞＋／]|[a-zA-Z]\\p{Mn}|[а-яА-Я]̆")
-    cyr = text.rlike("[" + looks.CYRILLIC + "]") & (~native | mixed)
-    greek = text.rlike("[" + looks.GREEK + "]") & ~text.rlike("[δεζηθλξπστφχψω]")
-    wide = text.rlike("[，（）！？：；]") & ~text.rlike(r"[぀-鿿]")
+    beyond = F.regexp_replace(text, r"[\x00-\x7f]+", " ")
+    native = beyond.rlike("[бгджзийлптфцчшщыьэюяБГДЖЗИЛПФЦЧШЩЭЮЯ]")
+    mixed = text.rlike(r"\p{IsLatin}\p{IsCyrillic}|\p{IsCyrillic}\p{IsLatin}")
+    odd = beyond.rlike("[" + looks.BLANKS + looks.INVISIBLE + "‐‑" + "".join(looks.LIGATURES) + "０-９Ａ-Ｚａ-ｚ．－％＝＜＞＋／]|[\u0300-\u036f]")
+    cyr = F.when(beyond.rlike("[" + looks.CYRILLIC + "]"), F.when(native, mixed).otherwise(True)).otherwise(False)
+    greek = beyond.rlike("[" + looks.GREEK + "]") & ~beyond.rlike("[δεζηθλξπστφχψω]")
+    wide = beyond.rlike("[，（）！？：；]") & ~beyond.rlike(r"[぀-鿿]")
     half = F.floor((F.length(text) - 1) / 2).cast("int")
     twice = (F.length(text) > 40) & (F.left(text, half) == F.right(text, half))
-    return ~(twice | (~looks.is_plain(text) & (odd | cyr | greek | wide)) | text.rlike(ADDED))
+    added = F.left(text, F.lit(20)).rlike(ADDED_BEFORE) | F.right(text, F.lit(160)).rlike(ADDED_AFTER) | (text.contains("<") & text.rlike(r"</?[A-Za-z][^<>]*>")) | (text.contains("&") & text.rlike(r"&(lt|gt|amp|quot|apos|nbsp|#\d+);"))
+    return ~F.when(twice | added, True).when(looks.is_plain(text), False).otherwise(odd | cyr | greek | wide)
 
 
 def precedence(firsts: DataFrame, states: tuple[str, ...]) -> dict[str, int]:

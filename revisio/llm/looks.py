@@ -34,7 +34,7 @@ _TO = CYRILLIC_LATIN + GREEK_LATIN + ORDINARY + " " * len(BLANKS) + "-" * len(HY
 
 def is_plain(c: Column) -> Column:
     """Whether a text has none but the ordinary ASCII characters."""
-    return ~c.rlike(r"[^\x00-\x7f]")
+    return F.octet_length(c) == F.length(c)
 
 
 def mapped(c: Column) -> Column:
