@@ -31,7 +31,7 @@ def two_by_two(a: Column, n1: Column, c: Column, n2: Column, measure: str) -> Co
     """
     a, n1, c, n2 = map(_double, (a, n1, c, n2))
     b, d = n1 - a, n2 - c
-    ok = (n1 > 0) & (n2 > 0) & (F.least(a, b, c, d) >= 0)
+    ok = (b + d).isNotNull() & (n1 > 0) & (n2 > 0) & (F.least(a, b, c, d) >= 0)
     if measure == "RD":
         p, q = F.try_divide(a, n1), F.try_divide(c, n2)
         return _pair(p - q, F.try_divide(p * (1 - p), n1) + F.try_divide(q * (1 - q), n2), ok)
