@@ -141,17 +141,19 @@ def surviving(records: DataFrame, trust: DataFrame) -> DataFrame:
     several = member.groupBy("study").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n")).where("n > 1").select("study", "first_ord")
     name = F.regexp_replace(F.lower("source"), r"\W+", "")
     src = trust.select(name.alias("s"), F.col("source").alias("known"), "trust_rank").dropDuplicates(["s"])
+    # one pass over the abstracts: their endings, their hash and whether they are plain
     base = records.select(
-        "ord", name.alias("s"), bare_doi(F.col("doi")).alias("doi"), "year", F.col("entry_type").alias("kind"), retrieved(F.col("retrieval_date")).alias("at"),
+        F.lit("records").alias("tbl"), F.col("ord").alias("row_id"), "source", F.col("abstract").alias("text"),
+        name.alias("s"), bare_doi(F.col("doi")).alias("doi"), "year", F.col("entry_type").alias("entry"), retrieved(F.col("retrieval_date")).alias("at"),
         F.xxhash64(F.trim(F.regexp_replace("abstract", r"\s+", " "))).alias("h"), F.length("abstract").alias("len"), plain_whole(F.col("abstract")).alias("plain"),
     )
-    ends = cuts.ended(records.select(F.lit("records").alias("tbl"), F.col("ord").alias("row_id"), "source", F.col("abstract").alias("text"))).withColumnRenamed("row_id", "ord")
-    rows = written(member.join(several, "study").join(base, "ord").join(ends, "ord").join(src, "s", "left"), "study-rows")
+    ends = cuts.ended(base).withColumnRenamed("row_id", "ord")
+    rows = written(member.join(several, "study").join(ends, "ord").join(src, "s", "left"), "study-rows")
     rows = rows.withColumn("rank", F.coalesce("trust_rank", F.lit(2**31 - 1)))
     newest = rows.agg(F.max(F.year("at"))).first()[0]
     ok_year = F.col("year").between(EARLIEST, newest + 1 if newest else 2**31 - 1)
     state = {
-        "doi": F.when(F.col("doi").isNull(), "none").when(F.col("kind") == "preprint", "preprint").otherwise("final"),
+        "doi": F.when(F.col("doi").isNull(), "none").when(F.col("entry") == "preprint", "preprint").otherwise("final"),
         "year": F.when(F.col("year").isNull(), "none").when(ok_year, "possible").otherwise("impossible"),
         "abstract": F.when(F.col("gap"), "gap").when(F.col("cut"), "cut").when(F.coalesce("plain", F.lit(False)), "whole").otherwise("mixed"),
     }

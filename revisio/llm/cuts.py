@@ -80,16 +80,17 @@ def _ending(end: Column, gap: Column) -> Column:
 
 
 def inspected(texts: DataFrame, with_lengths: bool = True) -> DataFrame:
-    """For ``(tbl, row_id, source, text)``: lengths, the kind of ending and what is needed to judge it."""
+    """For ``(tbl, row_id, source, text)``: lengths, the kind of ending and what is needed to judge it; further columns stay."""
     end = F.regexp_replace(F.regexp_replace(F.right("text", F.lit(END)), r"[\p{Zs}\p{Cf}]+", " "), r"(</[\w:]+>\s*)+$|\s+$", "")
     gap = F.col("text").isNull() | ((F.length("text") < 60) & F.col("text").rlike(PLACEHOLDER))
     signs = [F.regexp_replace("text", SIGNS, "").alias("signs")] if with_lengths else []
+    keep = [c for c in texts.columns if c not in ("tbl", "row_id", "source", "text")]
     t = texts.select("*", end.alias("x"), *signs, gap.alias("gap"))
     src = F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim("source")), r"\s+", " "), F.lit("")), F.lit("(none)"))
     tail = F.trim(F.regexp_replace(F.lower(F.regexp_extract("x", r"[:;,]\s*([^:;,]*)$", 1)), r"\d", "9"))
     n = lengths(F.col("text"), F.col("signs")) if with_lengths else {}
     return t.select(
-        "tbl", "row_id", src.alias("source"), *[c.alias(e) for e, c in n.items()], _ending(F.col("x"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("h"),
+        "tbl", "row_id", src.alias("source"), *keep, *[c.alias(e) for e, c in n.items()], _ending(F.col("x"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("text_hash"),
         F.regexp_extract(F.right("x", F.lit(20)), SHORT_WORD + "$", 0).alias("word"), F.when(F.col("x").rlike("(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"), tail).alias("tail"),
     )
 
@@ -134,7 +135,7 @@ def _by_ending(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """``rows`` with ``cut``: whether the ending alone shows a cut."""
     short = abbreviations(texts).withColumn("abbr", F.lit(True))
     # an unterminated closing line is whole if its value is a usual one and not the start of a far more usual one
-    tails = rows.where("kind = 'label' and tail <> ''").groupBy("tail").agg(F.countDistinct("h").alias("n"))
+    tails = rows.where("kind = 'label' and tail <> ''").groupBy("tail").agg(F.countDistinct("text_hash").alias("n"))
     begun = tails.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("tail") - 1, F.lit(1))), lambda i: F.substring("tail", F.lit(1), i))).alias("tail"), "n", F.col("tail").alias("whole"))
     begun = begun.where("tail <> whole").groupBy("tail").agg(F.max("n").alias("longer"))
     usual = tails.join(begun, "tail", "left").select("tail", ((F.col("n") >= 2) & (F.coalesce("longer", F.lit(0)) < 12 * F.col("n"))).alias("usual_tail"))
@@ -145,9 +146,10 @@ def _by_ending(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def ended(texts: DataFrame) -> DataFrame:
-    """``(row_id, cut, gap)`` by the endings alone, for texts whose sources are of no interest."""
+    """``(row_id, cut, gap)`` and the further columns of ``texts``, by the endings alone."""
     rows = written(inspected(texts, with_lengths=False), "ends")
-    return _by_ending(rows, texts).select("row_id", "cut", (F.col("kind") == "gap").alias("gap"))
+    keep = [c for c in texts.columns if c not in ("tbl", "row_id", "source", "text")]
+    return _by_ending(rows, texts).select("row_id", *keep, "cut", (F.col("kind") == "gap").alias("gap"))
 
 
 def judged(texts: DataFrame) -> DataFrame:
