@@ -63,24 +63,36 @@ def fuzzy_links(records: DataFrame) -> DataFrame:
     """``(ord, match)``: each record without identifier and the first earlier one that it is likely a copy of.
 
     Titles must be as good as equal (ratio of 99 and more), or alike (90 and
-    more) with the same year and first author.  The second kind meets by year
-    and author; the first meets by all words but one, so that titles that
-    differ within one word are compared whatever their other fields.  Titles
-    of a ratio of 99 and more that differ in several words are linked only if
-    year and author agree too.
+    more) with the same year and first author.  Equal titles meet by an
+    aggregate: the first row of a title stands for all, however many bear it.
+    Only different titles are compared: those that have all words but one in
+    common, and those of the same year and author.  Titles of a ratio of 99
+    and more that differ in several words are linked only if year and author
+    agree too.
     """
-    t = records.select("ord", norm_title(F.col("title")).alias("t"), F.col("year"), surname(F.try_element_at("authors", F.lit(1))).alias("author"), (F.size(id_keys()) > 0).alias("has_id")).where("t <> ''")
-    t = t.withColumn("s", F.array_sort(F.split("t", " "))).withColumn("n", F.length("t"))
+    t = records.select("ord", norm_title(F.col("title")).alias("t"), "year", surname(F.try_element_at("authors", F.lit(1))).alias("author"), (F.size(id_keys()) > 0).alias("has_id")).where("t <> ''")
+    first = t.groupBy("t").agg(F.min("ord").alias("first"), F.min(F.when(~F.col("has_id"), F.col("ord"))).alias("free"))
+    # all words but one, each title once
+    s = F.array_sort(F.split("t", " "))
     but_one = F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.xxhash64(F.concat(F.slice("s", 1, i - 1), F.slice("s", i + 1, F.size("s")))))
-    meet = F.when(F.col("year").isNotNull() & F.col("author").isNotNull(), F.xxhash64(F.lit("y"), "year", "author"))
-    k = t.withColumn("key", F.explode(F.array_distinct(F.concat(but_one, F.array(F.xxhash64("s"), meet))))).where("key is not null").drop("s")
-    left = k.where("not has_id").select("key", F.col("ord").alias("ord"), F.col("t").alias("ta"), F.col("n").alias("na"), F.col("year").alias("ya"), F.col("author").alias("aa"))
-    right = k.select("key", F.col("ord").alias("match"), F.col("t").alias("tb"), F.col("n").alias("nb"), F.col("year").alias("yb"), F.col("author").alias("ab"))
-    near = 2 * F.least("na", "nb") >= 0.9 * (F.col("na") + F.col("nb"))
-    c = left.join(right, "key").where((F.col("match") < F.col("ord")) & near).dropDuplicates(["ord", "match"])
-    c = c.withColumn("ratio", F.when(F.col("ta") == F.col("tb"), 100.0).otherwise(title_ratio("ta", "tb")))
-    same = (F.col("ratio") >= 99) | ((F.col("ratio") >= 90) & (F.col("ya") == F.col("yb")) & (F.col("aa") == F.col("ab")))
-    return c.where(same).groupBy("ord").agg(F.min("match").alias("match"))
+    k = first.withColumn("s", s).select("t", "first", "free", F.explode(F.array_distinct(F.concat(but_one, F.array(F.xxhash64("s"))))).alias("key"))
+    left = k.where("free is not null").select("key", F.col("t").alias("ta"), F.col("free").alias("ord"))
+    close = left.join(k.select("key", F.col("t").alias("tb"), F.col("first").alias("match")), "key").where(F.col("match") < F.col("ord"))
+    close = close.where(_alike(0.99)).dropDuplicates(["ta", "tb"]).where(title_ratio("ta", "tb") >= 99).groupBy("ta").agg(F.min("match").alias("match"))
+    # the same year and author
+    y = t.where("year is not null and author <> ''").groupBy("t", "year", "author").agg(F.min("ord").alias("first"), F.min(F.when(~F.col("has_id"), F.col("ord"))).alias("free"))
+    right = y.select("year", "author", F.col("t").alias("tb"), F.col("first").alias("match"))
+    same = y.where("free is not null").select("year", "author", F.col("t").alias("ta"), F.col("free").alias("ord")).join(right, ["year", "author"]).where(F.col("match") < F.col("ord"))
+    same = same.where(_alike(0.9)).where(title_ratio("ta", "tb") >= 90).groupBy("ta", "year", "author").agg(F.min("match").alias("match2"))
+    free = t.where("not has_id").join(first.select("t", "first"), "t").join(close.withColumnRenamed("ta", "t"), "t", "left").join(same.withColumnRenamed("ta", "t"), ["t", "year", "author"], "left")
+    m = F.least("first", "match", "match2")
+    return free.select("ord", m.alias("match")).where("match < ord")
+
+
+def _alike(least: float) -> Column:
+    """Different titles whose lengths allow the ratio."""
+    a, b = F.length("ta"), F.length("tb")
+    return (F.col("ta") != F.col("tb")) & (2 * F.least(a, b) >= least * (a + b))
 
 
 def clusters(records: DataFrame, fuzzy: bool = True) -> DataFrame:

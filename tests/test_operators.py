@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revisio.functions import effects as E
-from revisio.functions.text import bare_doi
+from revisio.functions.text import bare_doi, norm_title, surname
 from revisio.operators import flow, pooling, resolve, screening, texts
 from revisio.operators.components import components
 from revisio.sources import citations, pages, sinks
@@ -179,3 +179,27 @@ def test_stream_of_records(spark, tmp_path):
     q = ingest.append_new(ingest.new_records(spark, str(tmp_path / "in"), d.schema), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_fuzzy_links_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    base = ["sleep and pain in older adults a randomised trial", "effect of light on mood in shift workers", "letter to the editor"]
+    rows = []
+    for i in range(90):
+        t = rng.choice(base)
+        if rng.random() < 0.5:
+            p = rng.randrange(len(t))
+            t = t[:p] + rng.choice("abc x") + t[p + rng.randrange(2) :]
+        rows.append(rec(i, t, pmid="9" if rng.random() < 0.2 else "", authors=[rng.choice(["Doe, A", "Roe B"])] if rng.random() < 0.8 else [], year=rng.choice([2000, 2001, None])))
+    d = frame(spark, *rows)
+    flat = d.select("ord", norm_title(F.col("title")).alias("t"), "year", surname(F.try_element_at("authors", F.lit(1))).alias("a"), (F.size(resolve.id_keys()) > 0).alias("h")).orderBy("ord").collect()
+    want = {}
+    for i, r in enumerate(flat):
+        for q in flat[:i]:
+            x = resolve.token_sort_ratio(r.t, q.t)
+            if not r.h and (x >= 99 or (x >= 90 and r.year is not None and r.year == q.year and r.a and r.a == q.a)):
+                want[r.ord] = q.ord
+                break
+    assert {r.ord: r.match for r in resolve.fuzzy_links(d).collect()} == want
