@@ -31,5 +31,24 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: DuckDB's form of a bare DOI.
+_DOI = r"""coalesce(nullif(regexp_extract(regexp_replace(regexp_replace(lower(trim(regexp_replace(coalesce(doi, ''), '[\s\u00a0]+', ' ', 'g'))), '^(https?://[^/]*/|info:doi/|doi\s*:?\s*)+', ''), '[\s.,;]+$', ''), '^(10\.[1-9][0-9]{3,8}(\.[0-9]+)*/\S+|10\.0*[1-9][0-9]*/\S+)$', 1), ''), '')""".replace("\\u00a0", "\u00a0")
+
+
+def _shown(field: str) -> str:
+    """A text as it shows, in DuckDB: look-alikes mapped, accents composed."""
+    sql = f"translate({field}, '{looks._FROM.replace(chr(39), chr(39) * 2)}', '{looks._TO.replace(chr(39), chr(39) * 2)}')"
+    for lig, plain in looks.LIGATURES.items():
+        sql = f"replace({sql}, '{lig}', '{plain}')"
+    return f"nfc_normalize({sql})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    pairs = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, a.ord AS ord_a, b.ord AS ord_b FROM (SELECT ord, {f} AS t, {_shown(f)} AS k FROM records WHERE {f} <> '') a JOIN (SELECT ord, {f} AS t, {_shown(f)} AS k FROM records WHERE {f} <> '') b ON a.k = b.k AND a.ord < b.ord AND a.t <> b.t" for f in ("title", "abstract")
+    )
+    return {
+        "p3_found": rf"""WITH k AS (SELECT ord, replace(lower(upper(regexp_replace(title, '[\s\p{{P}}$+<=>^`|~]+', '', 'g'))), 'ς', 'σ') AS t, {_DOI} AS d FROM records),
+          c AS (SELECT ord, min(ord) OVER (PARTITION BY t, d) AS first_ord FROM k WHERE t <> '') SELECT first_ord, ord AS copy_ord FROM c WHERE ord <> first_ord""",
+        "p5_found": pairs,
+    }

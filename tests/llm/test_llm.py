@@ -251,13 +251,17 @@ def test_noise_in_reports(spark):
     lines[5] = "adults were allo-"
     lines[6] = "cated to tr3atm€nt"[:9] + "treatm€nt under conditions"
     rows += [(99, "\n".join(lines), 3), (100, None, 3), (101, "", None), (102, "one line", None)]
-    d = spark.createDataFrame(rows, "pdf_id long, full_text string, n_pages int")
+    part = "\n".join(lines[4:9])
+    rows = [(*r, {"methods": part, "other": "a b\nc"} if r[0] == 99 else None) for r in rows]
+    d = spark.createDataFrame(rows, "pdf_id long, full_text string, n_pages int, sections map<string,string>")
     got = collections.defaultdict(set)
     for r in scans.noise(d).where("pdf_id >= 99").collect():
         got[r.kind].add((r.pdf_id, r.line_no))
     assert got["running"] == {(99, n) for n in running}
     assert (99, 6) in got["hyphen"] and (99, 7) in got["ocr"]
-    text = {r.pdf_id: r.repaired for r in scans.paragraphs(d).where("pdf_id >= 99").collect()}
+    parts = {(r.pdf_id, r.part): r.repaired for r in scans.paragraphs(d).where("pdf_id >= 99").collect()}
+    text = {i: x for (i, part), x in parts.items() if part == "full_text"}
+    assert "allocated to treatment under conditions" in parts[99, "methods"] and parts[99, "other"] == "a b c"
     assert "allocated to treatment under conditions" in text[99] and "Page 1" not in text[99]
     assert text[100] is None and text[101] == "" and text[102] == "one line"
 
