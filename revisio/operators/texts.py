@@ -60,13 +60,51 @@ def deinverted(index: DataFrame, id_col: str) -> DataFrame:
     return index.groupBy(id_col).agg(F.array_join(F.transform(words, lambda x: x["word"]), " ").alias("text"))
 
 
-def boolean_query(groups: Column, field: str = "{}") -> Column:
-    """Terms of a group joined by OR, groups by AND; terms of several words are quoted; ``field`` wraps a term."""
-    before, after = field.split("{}")
-    quoted = lambda t: F.concat(F.lit(before), F.when(t.contains(" "), F.concat(F.lit('"'), F.trim(t), F.lit('"'))).otherwise(F.trim(t)), F.lit(after))
-    one = lambda g: F.concat(F.lit("("), F.array_join(F.transform(g, quoted), " OR "), F.lit(")"))
+def boolean_query(groups: Column, term: str = "{}", group: str = "({})") -> Column:
+    """Terms of a group joined by OR, groups by AND; terms of several words are quoted; ``term`` and ``group`` wrap them."""
+    fill = lambda pattern, x: F.replace(F.lit(pattern), F.lit("{}"), x)
+    quoted = lambda t: fill(term, F.when(F.trim(t).contains(" "), F.concat(F.lit('"'), F.trim(t), F.lit('"'))).otherwise(F.trim(t)))
+    one = lambda g: fill(group, F.array_join(F.transform(g, quoted), " OR "))
     return F.array_join(F.transform(F.filter(groups, lambda g: F.size(g) > 0), one), " AND ")
 
 
-#: How the search dialects wrap a term.
-DIALECTS = {"pubmed": "{}[Title/Abstract]", "arxiv": "abs:{}", "ieee": '"Abstract":{}', "plain": "{}"}
+#: How the search dialects wrap a term and a group.
+DIALECTS = {
+    "pubmed": ("{}[Title/Abstract]", "({})"),
+    "europepmc": ("(TITLE:{} OR ABSTRACT:{})", "({})"),
+    "scopus": ("{}", "TITLE-ABS-KEY({})"),
+    "wos": ("{}", "TS=({})"),
+    "arxiv": ("abs:{}", "({})"),
+    "ieee": ('"Abstract":{}', "({})"),
+    "plain": ("{}", "({})"),
+}
+
+
+def body_text(xml: Column) -> Column:
+    """The paragraphs of an article's body in a JATS document, in order; null for what is no XML body."""
+    return F.nullif(F.trim(F.regexp_replace(F.array_join(F.xpath(xml, F.lit("//body//p//text()")), " "), r"\s+", " ")), F.lit(""))
+
+
+def relevant_window(text: Column, size: int) -> Column:
+    """A long text without its references, from a little before its results heading on, ``size`` characters; shorter ones stay whole."""
+    body = F.regexp_replace(text, r"(?is)\n[ \t]*references[ \t]*\n.*$", "")
+    at = F.greatest(F.lit(1), F.regexp_instr(body, F.lit(r"(?im)^[ \t]*results[ \t]*$")) - size // 4)
+    return F.when(F.length(text) <= size, text).otherwise(F.substring(body, at, F.lit(size)))
+
+
+def short_label(name: Column) -> Column:
+    """The acronym in parentheses of an arm's name, else its first three words."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"\(([A-Z][A-Z0-9-]{1,9})\)", 1), F.lit("")), F.array_join(F.slice(F.split(F.trim(name), r"\s+"), 1, 3), " "))
+
+
+def first_available(*channels: Column) -> Column:
+    """The first channel with a text: full text before preprint before abstract, say."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in channels])
+
+
+def tally(rows: DataFrame, by: str, level: str) -> DataFrame:
+    """``(by, level, n, pct)``: counts of levels and their share of the key's rows in percent."""
+    n = rows.groupBy(by, level).agg(F.count("*").alias("n"))
+    total = rows.groupBy(by).agg(F.count("*").alias("total"))
+    k = n[by].eqNullSafe(total[by])
+    return n.join(total, k).select(n[by], level, "n", (100 * F.col("n") / F.col("total")).alias("pct"))

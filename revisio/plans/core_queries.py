@@ -217,7 +217,7 @@ def match_documents(s: SparkSession, d: str) -> DataFrame:
 
 def queries_text(s: SparkSession, d: str) -> DataFrame:
     g = table(s, d, "mix_targets").select("source", F.array(F.array("source", F.lit("sleep quality")), F.array(F.lit("trial"))).alias("g"))
-    return g.select("source", *[texts.boolean_query(F.col("g"), f).alias(n) for n, f in texts.DIALECTS.items()])
+    return g.select("source", *[texts.boolean_query(F.col("g"), *f).alias(n) for n, f in texts.DIALECTS.items()])
 
 
 def _meta(work: Callable, schema: str, *more: str, places: int = 6) -> Query:
@@ -266,6 +266,8 @@ def queries() -> dict[str, Query]:
         "query_translate": queries_text,
         "harvest_statistics": lambda s, d: texts.statistics(table(s, d, "fulltext").where("ft_id is not null"), "ft_id", "text").groupBy("kind").agg(F.count("*").alias("distinct_found"), F.sum("n").alias("found")),
         "sections": lambda s, d: texts.sections(table(s, d, "pdf_documents"), "pdf_id", "full_text").groupBy("heading").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars")),
+        "decision_tally": lambda s, d: _r(texts.tally(table(s, d, "screening").where("decision is not null"), "reviewer", "decision"), "pct", places=4),
+        "relevant_window": lambda s, d: table(s, d, "fulltext").select("ft_id", F.length(texts.relevant_window(F.col("text"), 1200)).alias("kept")),
         "captions": lambda s, d: texts.captions(table(s, d, "pdf_documents"), "pdf_id", "full_text"),
         "references": lambda s, d: texts.references(table(s, d, "pdf_documents"), "pdf_id", "full_text"),
         "cite_keys": lambda s, d: sinks.cite_keys(table(s, d, "records"), "ord"),
@@ -336,6 +338,9 @@ def oracle_sql() -> dict[str, str]:
           a AS (SELECT d, min(ord) AS a FROM r WHERE d IS NOT NULL GROUP BY d), b AS (SELECT t, min(ord) AS b FROM r WHERE t IS NOT NULL GROUP BY t)
           SELECT pdf_id, coalesce(a, b) AS ord, CASE WHEN a IS NOT NULL THEN 'doi' WHEN b IS NOT NULL THEN 'title' END AS how FROM p LEFT JOIN a USING (d) LEFT JOIN b USING (t)""",
         "query_translate": """SELECT source, '(' || source || '[Title/Abstract] OR "sleep quality"[Title/Abstract]) AND (trial[Title/Abstract])' AS pubmed, '(abs:' || source || ' OR abs:"sleep quality") AND (abs:trial)' AS arxiv,
+          '((TITLE:' || source || ' OR ABSTRACT:' || source || ') OR (TITLE:"sleep quality" OR ABSTRACT:"sleep quality")) AND ((TITLE:trial OR ABSTRACT:trial))' AS europepmc,
+          'TITLE-ABS-KEY(' || source || ' OR "sleep quality") AND TITLE-ABS-KEY(trial)' AS scopus, 'TS=(' || source || ' OR "sleep quality") AND TS=(trial)' AS wos,
           '("Abstract":' || source || ' OR "Abstract":"sleep quality") AND ("Abstract":trial)' AS ieee, '(' || source || ' OR "sleep quality") AND (trial)' AS plain FROM mix_targets""",
+        "decision_tally": "WITH n AS (SELECT reviewer, decision, count(*) AS n FROM screening WHERE decision IS NOT NULL GROUP BY 1, 2) SELECT reviewer, decision, n, round(100.0 * n / sum(n) OVER (PARTITION BY reviewer), 4) AS pct FROM n",
         "captions": r"""WITH l AS (SELECT pdf_id, unnest(string_split(full_text, chr(10))) AS line FROM pdf_documents) SELECT pdf_id, regexp_extract(line, '(?i)^\s*((?:Figure|Fig\.?|Table)\s*\d+)[.:]?\s*(.+)$', 1) AS label, regexp_extract(line, '(?i)^\s*((?:Figure|Fig\.?|Table)\s*\d+)[.:]?\s*(.+)$', 2) AS caption FROM l WHERE regexp_matches(line, '(?i)^\s*((?:Figure|Fig\.?|Table)\s*\d+)[.:]?\s*(.+)$')""",
     }

@@ -203,3 +203,20 @@ def test_fuzzy_links_against_all_pairs(spark):
                 want[r.ord] = q.ord
                 break
     assert {r.ord: r.match for r in resolve.fuzzy_links(d).collect()} == want
+
+
+def test_small_text_operators(spark):
+    xml = "<article><front><p>no</p></front><body><sec><p>One <i>two</i></p><p>three</p></sec></body></article>"
+    long = "x" * 90 + "\nResults\n" + "y" * 90 + "\nReferences\n1. z"
+    d = spark.createDataFrame([(xml, long, "standard care as usual (SCU)", "", None), (None, "short", "sham light in the morning", "b", "c")], "x string, t string, n string, a string, b string")
+    r = d.select(texts.body_text(F.col("x")).alias("x"), texts.relevant_window(F.col("t"), 100).alias("t"), texts.short_label(F.col("n")).alias("n"), texts.first_available(F.col("a"), F.col("b")).alias("f")).collect()
+    assert r[0].x == "One two three" and r[1].x is None
+    assert "Results" in r[0].t and "References" not in r[0].t and len(r[0].t) <= 100 and r[1].t == "short"
+    assert [x.n for x in r] == ["SCU", "sham light in"] and [x.f for x in r] == [None, "b"]
+
+
+def test_synthetic_records(spark):
+    from revisio.sources.tables import synthetic_records
+
+    a = synthetic_records(spark, "s", "q", 50).collect()
+    assert a == synthetic_records(spark, "s", "q", 50).collect() and 40 <= len({r.doi for r in a}) < 50
