@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from revisio.plans.lineage import written
+
 #: Name parts by which a source is a register.
 REGISTER_HINTS = ("clinicaltrials", "clinical-trials", "prospero", "ictrp", "isrctn", "anzctr", "drks", "chictr", "ctri", "eudract", "regist")
 
@@ -41,7 +43,8 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str, slices: int
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     p = rows.repartitionByRange(slices, *cols).withColumn("_p", F.spark_partition_id())
-    p = p.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*cols)))
+    # written once: a second evaluation could draw other ranges
+    p = written(p.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*cols))), "numbered")
     sizes = p.groupBy("_p").count()
     before = sizes.withColumn("_b", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     return p.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_n")).drop("_p", "_n", "_b")
