@@ -145,7 +145,7 @@ def surviving(records: DataFrame, trust: DataFrame) -> DataFrame:
     base = records.select(
         F.lit("records").alias("tbl"), F.col("ord").alias("row_id"), "source", F.col("abstract").alias("text"),
         name.alias("s"), bare_doi(F.col("doi")).alias("doi"), "year", F.col("entry_type").alias("entry"), retrieved(F.col("retrieval_date")).alias("at"),
-        F.xxhash64(F.trim(F.regexp_replace("abstract", r"\s+", " "))).alias("h"), F.length("abstract").alias("len"), plain_whole(F.col("abstract")).alias("plain"),
+        F.xxhash64(F.when(F.col("abstract").rlike(r"\s\s|[\t\n\r]|^\s|\s$"), F.trim(F.regexp_replace("abstract", r"\s+", " "))).otherwise(F.col("abstract"))).alias("h"), F.length("abstract").alias("len"), plain_whole(F.col("abstract")).alias("plain"),
     )
     ends = cuts.ended(base).withColumnRenamed("row_id", "ord")
     rows = written(member.join(several, "study").join(ends, "ord").join(src, "s", "left"), "study-rows")

@@ -37,8 +37,10 @@ CLEAN_BY_CHANCE = 0.011
 
 #: Characters that some encoding lengthens or that open and close.
 SIGNS = r"""[^&<>"'\\\n\r\t()（）«»「」『』„“”]+"""
-#: An ending is looked for in so many last characters.
-END = 400
+#: A quotation or bracket left open is looked for in so many last characters, ...
+END = 300
+#: ... a closing line in so many.
+LINE = 160
 
 
 def _count(signs: Column, *wanted: str) -> Column:
@@ -72,7 +74,7 @@ def _ending(end: Column, gap: Column) -> Column:
     return (
         F.when(gap, "gap")
         .when(F.right(end, F.lit(40)).rlike(MARKER + r"|</?[\w:]{0,20}$") | _open(end), "cut")
-        .when(end.rlike(label), "label")
+        .when(F.right(end, F.lit(LINE)).rlike(label), "label")
         .when(~F.right(end, F.lit(12)).rlike(CLOSED) | F.right(end, F.lit(30)).rlike(number + r"|(^|[\s(])\p{Lu}\.$|[,;:]\)?\.?$"), "cut")
         .when(F.right(end, F.lit(20)).rlike(SHORT_WORD + "$"), "word")
         .otherwise("clean")
@@ -87,11 +89,11 @@ def inspected(texts: DataFrame, with_lengths: bool = True) -> DataFrame:
     keep = [c for c in texts.columns if c not in ("tbl", "row_id", "source", "text")]
     t = texts.select("*", end.alias("x"), *signs, gap.alias("gap"))
     src = F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim("source")), r"\s+", " "), F.lit("")), F.lit("(none)"))
-    tail = F.trim(F.regexp_replace(F.lower(F.regexp_extract("x", r"[:;,]\s*([^:;,]*)$", 1)), r"\d", "9"))
+    tail = F.trim(F.regexp_replace(F.lower(F.regexp_extract(F.right("x", F.lit(LINE)), r"[:;,]\s*([^:;,]*)$", 1)), r"\d", "9"))
     n = lengths(F.col("text"), F.col("signs")) if with_lengths else {}
     return t.select(
         "tbl", "row_id", src.alias("source"), *keep, *[c.alias(e) for e, c in n.items()], _ending(F.col("x"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("text_hash"),
-        F.regexp_extract(F.right("x", F.lit(20)), SHORT_WORD + "$", 0).alias("word"), F.when(F.col("x").rlike("(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"), tail).alias("tail"),
+        F.regexp_extract(F.right("x", F.lit(20)), SHORT_WORD + "$", 0).alias("word"), F.when(F.right("x", F.lit(LINE)).rlike("(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"), tail).alias("tail"),
     )
 
 
