@@ -63,7 +63,7 @@ def lengths(x: Column, signs: Column) -> dict[str, Column]:
 def _open(end: Column) -> Column:
     """Whether a bracket or quotation that opens near the end stays open."""
     quote = r"[(（][^)）]*$|«[^»]*$|「[^」]*$|『[^』]*$|(?:^|[\s(（])[\"'](?=\S)[^\"']*$"
-    high = F.when(end.contains("„"), end.rlike(r"„[^“]*$")).otherwise(end.rlike(r"“[^”]*$"))
+    high = F.when(end.contains("„"), end.rlike(r"„[^“]*$")).otherwise(end.rlike(r"(?:^|[\s(])“(?=\S)[^”]*$"))
     return end.rlike(quote) | high
 
 
