@@ -63,32 +63,75 @@ def fuzzy_links(records: DataFrame) -> DataFrame:
     """``(ord, match)``: each record without identifier and the first earlier one that it is likely a copy of.
 
     Titles must be as good as equal (ratio of 99 and more), or alike (90 and
-    more) with the same year and first author.  Equal titles meet by an
-    aggregate: the first row of a title stands for all, however many bear it.
-    Only different titles are compared: those that have all words but one in
-    common, and those of the same year and author.  Titles of a ratio of 99
-    and more that differ in several words are linked only if year and author
-    agree too.
+    more) with the same year and first author.  Equal titles, and those of
+    the same words, meet by an aggregate: the first row of a title stands for
+    all, however many bear it.  Other titles are compared if they share a
+    piece, without which their ratio is below 99 (see :func:`_pieces`), or
+    the year and author.
     """
     t = records.select("ord", norm_title(F.col("title")).alias("t"), "year", surname(F.try_element_at("authors", F.lit(1))).alias("author"), (F.size(id_keys()) > 0).alias("has_id")).where("t <> ''")
-    first = t.groupBy("t").agg(F.min("ord").alias("first"), F.min(F.when(~F.col("has_id"), F.col("ord"))).alias("free"))
-    # all words but one, each title once
-    s = F.array_sort(F.split("t", " "))
-    but_one = F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.xxhash64(F.concat(F.slice("s", 1, i - 1), F.slice("s", i + 1, F.size("s")))))
-    k = first.withColumn("s", s).select("t", "first", "free", F.explode(F.array_distinct(F.concat(but_one, F.array(F.xxhash64("s"))))).alias("key"))
-    left = k.where("free is not null").select("key", F.col("t").alias("ta"), F.col("free").alias("ord"))
-    close = left.join(k.select("key", F.col("t").alias("tb"), F.col("first").alias("match")), "key").where(F.col("match") < F.col("ord"))
+    t = t.withColumn("s", F.array_join(F.array_sort(F.split("t", " ")), " "))
+    first = t.groupBy("s").agg(F.min("ord").alias("first"), F.min(F.when(~F.col("has_id"), F.col("ord"))).alias("free"))
+    # as good as equal, each set of words once
+    right = first.select(F.col("s").alias("tb"), F.col("first").alias("match"), F.explode(_pieces("s")).alias("key"))
+    left = first.where("free is not null").select(F.col("s").alias("ta"), F.col("free").alias("ord"), F.explode(_probes("s")).alias("key"))
+    close = left.join(right, "key").where(F.col("match") < F.col("ord"))
     close = close.where(_alike(0.99)).dropDuplicates(["ta", "tb"]).where(title_ratio("ta", "tb") >= 99).groupBy("ta").agg(F.min("match").alias("match"))
     # the same year and author
     y = t.where("year is not null and author <> ''").groupBy("t", "year", "author").agg(F.min("ord").alias("first"), F.min(F.when(~F.col("has_id"), F.col("ord"))).alias("free"))
     right = y.select("year", "author", F.col("t").alias("tb"), F.col("first").alias("match"))
     same = y.where("free is not null").select("year", "author", F.col("t").alias("ta"), F.col("free").alias("ord")).join(right, ["year", "author"]).where(F.col("match") < F.col("ord"))
     same = same.where(_alike(0.9)).where(title_ratio("ta", "tb") >= 90).groupBy("ta", "year", "author").agg(F.min("match").alias("match2"))
-    free = t.where("not has_id").join(first.select("t", "first"), "t").join(close.withColumnRenamed("ta", "t"), "t", "left").join(same.withColumnRenamed("ta", "t"), ["t", "year", "author"], "left")
+    free = t.where("not has_id").join(first.select("s", "first"), "s").join(close.withColumnRenamed("ta", "s"), "s", "left").join(same.withColumnRenamed("ta", "t"), ["t", "year", "author"], "left")
     m = F.least("first", "match", "match2")
     return free.select("ord", m.alias("match")).where("match < ord")
 
 
+def _piece(of: str, length: Column, i: Column, start: Column) -> Column:
+    """The key of a text's ``i``-th piece, as cut from a text of the given length."""
+    n = _edits(length) + 1
+    at, end = F.floor(i * length / n), F.floor((i + 1) * length / n)
+    return F.xxhash64(length, i, F.substr(F.col(of), (start + at + 1).cast("int"), (end - at).cast("int")))
+
+
+def _edits(length: Column) -> Column:
+    """Insertions and deletions at most between a text of this length and one of a ratio of 99 and more."""
+    return F.floor(2 * length / 99).cast("int")
+
+
+def _pieces(s: str) -> Column:
+    """Keys of the pieces of a text: one more than the edits it may have, so one piece is whole."""
+    size = F.length(s)
+    return F.transform(F.sequence(F.lit(0), _edits(size)), lambda i: _piece(s, size, i, F.lit(0)))
+
+
+def _probes(s: str) -> Column:
+    """Keys of all pieces by which a text can meet one of a ratio of 99 and more.
+
+    Of d edits some whole piece i has just i before it and d - i after it (the
+    edits before a piece less its number start at 0 and end below, and fall by
+    one only at a whole piece).  So it is moved by -i, -i + 2, ... or i places,
+    and what is left of the difference in length is at most d - i.
+    """
+    size = F.length(s)
+    most = _edits(size)
+
+    def of_length(off: Column) -> Column:
+        other = size - off
+        edits = F.floor((size + other) / 100).cast("int")
+        n = _edits(other) + 1
+
+        def of_piece(i: Column) -> Column:
+            moves = F.filter(F.sequence(-i, i, F.lit(2)), lambda m: F.abs(off - m) <= edits - i)
+            at, end = F.floor(i * other / n), F.floor((i + 1) * other / n)
+            inside = F.filter(moves, lambda m: (at + m >= 0) & (end + m <= size))
+            return F.transform(inside, lambda m: _piece(s, other, i, m))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), edits), of_piece))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(-most, most), of_length)))
+
+
 def _alike(least: float) -> Column:
     """Different titles whose lengths allow the ratio."""
     a, b = F.length("ta"), F.length("tb")

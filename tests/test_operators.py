@@ -205,6 +205,26 @@ def test_fuzzy_links_against_all_pairs(spark):
     assert {r.ord: r.match for r in resolve.fuzzy_links(d).collect()} == want
 
 
+def test_titles_that_differ_in_several_words_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["sleep", "pain", "older", "adults", "randomised", "controlled", "trial", "lower", "back", "stepped", "wedge", "effect", "of", "light", "mood", "shift", "workers"]
+    long = [" ".join(rng.choice(words) for _ in range(n)) for n in (9, 18, 27, 40)]
+    rows = [rec(0, "exercise given to adults with pain (lower back)"), rec(1, "exercise given to adults with pain (lower\nback)")]
+    for i in range(2, 80):
+        t = rng.choice(long)
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            p = rng.randrange(len(t))
+            t = t[:p] + rng.choice(["", " ", "q", "-"]) + t[p + rng.randrange(2) :]
+        rows.append(rec(i, t, pmid="9" if rng.random() < 0.2 else ""))
+    d = frame(spark, *rows)
+    flat = d.select("ord", norm_title(F.col("title")).alias("t"), (F.size(resolve.id_keys()) > 0).alias("h")).orderBy("ord").collect()
+    want = {r.ord: m for i, r in enumerate(flat) if not r.h and (m := next((q.ord for q in flat[:i] if resolve.token_sort_ratio(r.t, q.t) >= 99), None)) is not None}
+    assert len(want) > 10
+    assert {r.ord: r.match for r in resolve.fuzzy_links(d).collect()} == want
+
+
 def test_small_text_operators(spark):
     xml = "<article><front><p>no</p></front><body><sec><p>One <i>two</i></p><p>three</p></sec></body></article>"
     long = "x" * 90 + "\nResults\n" + "y" * 90 + "\nReferences\n1. z"
