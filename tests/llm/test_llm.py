@@ -269,3 +269,11 @@ def test_noise_in_reports(spark):
 def test_shapes():
     assert scans.shape("final") == scans.shape("f1nal") == scans.shape("fina|")
     assert scans.shape("modern") != scans.shape("sleep")
+
+
+def test_confusions_that_others_hide_are_undone():
+    right = "uncertain nutrition function conclusions studies median handled disputed".split()
+    words = scans.Words({w: 100 for w in right})
+    read = "iincertain niitrition fiinction concliisions stuclies meclian hanclled clisputed".split()
+    assert [words.right(w, collections.Counter(), {}) for w in read] == right
+    assert [words.right(w, collections.Counter(), {}) for w in right] == [None] * len(right)
