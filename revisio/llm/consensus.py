@@ -7,9 +7,10 @@ finds both, the share of included items, and each item's posterior.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revisio.operators.screening import decision
 from revisio.plans.lineage import written
 
 LABELS = ("include", "exclude", "maybe")
@@ -20,16 +21,6 @@ CLOSE = 2e-3
 SMOOTH = 0.5
 
 
-def decision(c: Column) -> Column:
-    """The label that a spelling of a decision means; null for blank or unknown ones."""
-    x = F.regexp_replace(F.lower(F.trim(c)), r"[^a-z]", "")
-    return (
-        F.when(x.isin("include", "included", "incl", "yes", "accept"), "include")
-        .when(x.isin("exclude", "excluded", "excl", "no", "reject"), "exclude")
-        .when(x.isin("maybe", "unsure", "unclear", "uncertain"), "maybe")
-    )
-
-
 def votes(screening: DataFrame, log: DataFrame) -> DataFrame:
     """``(uid, rater, label)``: one vote of each rater on each item, the latest if there are several.
 

@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from revisio.functions.text import tokens
 
 
+def decision(c: Column) -> Column:
+    """The label that a spelling of a decision means; null for blank or unknown ones."""
+    x = F.regexp_replace(F.lower(F.trim(c)), r"[^a-z]", "")
+    return (
+        F.when(x.isin("include", "included", "incl", "yes", "accept"), "include")
+        .when(x.isin("exclude", "excluded", "excl", "no", "reject"), "exclude")
+        .when(x.isin("maybe", "unsure", "unclear", "uncertain"), "maybe")
+    )
+
+
+def unit_confidence(c: Column) -> Column:
+    """A confidence from 0 to 1; one above 1 is a percentage."""
+    return F.when(c > 1, c / 100).otherwise(c)
+
+
 def pivoted(votes: DataFrame, item: str, role: str, value: str, order: str, roles: tuple[str, ...]) -> DataFrame:
     """A row an item with the last value of each role."""
     return votes.groupBy(item).agg(*[F.max_by(F.when(F.col(role) == r, F.col(value)), F.when(F.col(role) == r, F.col(order))).alias(r) for r in roles])

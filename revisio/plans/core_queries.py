@@ -127,7 +127,8 @@ def screen_pivot(s: SparkSession, d: str) -> DataFrame:
 
 
 def best_decision(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "screening").where("confidence <= 1 and decision is not null")
+    """The surest vote of each item, whatever the spelling or the scale; votes without confidence count least.  The SQL leaves those and percentages out."""
+    v = table(s, d, "screening").withColumns({"decision": screening.decision(F.col("decision")), "confidence": screening.unit_confidence(F.col("confidence"))}).where("decision is not null")
     return screening.best_decision(v, "uid", "decision", "confidence", "vote_id")
 
 
@@ -246,7 +247,7 @@ def queries() -> dict[str, Query]:
         "uid": uids,
         "flow_by_source": lambda s, d: flow.by_source(table(s, d, "records")),
         "flow_counts": flow_counts,
-        "exclusion_reasons": lambda s, d: flow.reasons(table(s, d, "screening").where("decision = 'exclude'"), "reason"),
+        "exclusion_reasons": lambda s, d: flow.reasons(table(s, d, "screening").where(screening.decision(F.col("decision")) == "exclude"), "reason"),
         "ledger_checks": ledger,
         "kappa": kappa,
         "screen_pivot": screen_pivot,

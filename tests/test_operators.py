@@ -240,3 +240,14 @@ def test_synthetic_records(spark):
 
     a = synthetic_records(spark, "s", "q", 50).collect()
     assert a == synthetic_records(spark, "s", "q", 50).collect() and 40 <= len({r.doi for r in a}) < 50
+
+
+def test_all_votes_count_whatever_their_spelling_and_scale(spark, tmp_path):
+    from revisio.plans import core_queries
+
+    rows = [(1, "a", "include", 0.7, None), (2, "a", "excl.", 90.0, "dose"), (3, "b", "Include ", None, None), (4, "c", "EXCLUDE", 0.8, "dose"), (5, "c", "maybe", 0.8, None), (6, "c", "include", None, None), (7, "d", "", 0.9, None), (8, "e", "exclude ", 0.6, "")]
+    spark.createDataFrame(rows, "vote_id long, uid string, decision string, confidence double, reason string").write.parquet(str(tmp_path / "screening.parquet"))
+    q = core_queries.queries()
+    best = {r.uid: (r.decision, r.confidence) for r in q["best_decision"](spark, str(tmp_path)).collect()}
+    assert best == {"a": ("exclude", 0.9), "b": ("include", None), "c": ("exclude", 0.8), "e": ("exclude", 0.6)}
+    assert {tuple(r) for r in q["exclusion_reasons"](spark, str(tmp_path)).collect()} == {("dose", 2), ("Other", 1)}
