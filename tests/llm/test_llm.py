@@ -6,6 +6,7 @@ import math
 import random
 import unicodedata
 from datetime import datetime
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -200,13 +201,18 @@ def test_mix(spark):
 # ---- sentences ----------------------------------------------------------------------
 
 
-def units(text, abbr=None, w=None):
+KNOWN = {w: (1, 0.0) for w in ("Dr", "Prof", "J", "K", "al")}
+
+
+@lru_cache
+def chain():
     rng = random.Random(2)
-    said = ["Dr. Roe met Prof. Doe.", "All went well.", "It was late.", "We saw J. K. Roe et al. in May.", "Many came.", "Was it safe?", "It was!", "They met Dr. Moe and Prof. Low again."]
-    base = ["".join(rng.choice(said) + rng.choice([" ", " ", "\n\n"]) for _ in range(12)) for _ in range(60)]
-    abbr = sentences.abbreviation_scores(sentences._counts(base)) if abbr is None else abbr
-    w = sentences.fit(base, abbr) if w is None else w
-    ends = sentences.decode(text, abbr, w)
+    said = ["Dr. Roe met Prof. Doe.", "All went well.", "It was late.", "We saw J. K. Roe et al. in May.", "Many came.", "Was it safe?", "It was!", "They met Dr. Moe and Prof. Low again.", "ผลดีมาก"]
+    return sentences.fit(["".join(rng.choice(said) + rng.choice([" ", " ", "\n\n"]) for _ in range(12)) for _ in range(120)], KNOWN)
+
+
+def units(text):
+    ends = sentences.decode(text, KNOWN, chain())
     return [text[a:b].strip() for a, b in zip([0, *ends], ends)]
 
 
@@ -220,6 +226,87 @@ def test_units():
     assert units("...") == ["..."]
 
 
+def test_viterbi_finds_the_best_of_all_sequences():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = 7
+        m = sentences.Chain()
+        m.move = rng.normal(size=m.move.shape)
+        e, letters, gaps = rng.normal(size=n).tolist(), (rng.random(n) < 0.6).tolist(), rng.integers(1, 60, n).tolist()
+
+        def score(tags):
+            s, before, open_ = 0.0, True, False
+            for tag, x, let, g in zip(tags, e, letters, gaps):
+                open_ = open_ or let
+                if tag and not open_:
+                    return -np.inf
+                s += m.move[int(before), int(tag), sentences._bin(g)] + (x if tag else 0)
+                before, open_ = tag, open_ and not tag
+            return s
+
+        want = max(itertools.product([False, True], repeat=n), key=score)
+        assert math.isclose(score(m.decode(e, letters, gaps)), score(want))
+
+
+def test_the_chain_decides():
+    text = "We saw Dr. Roe. All went well. They met Prof. Low et al. in May. J. K. Moe came."
+    assert units(text) == ["We saw Dr. Roe.", "All went well.", "They met Prof. Low et al. in May.", "J. K. Moe came."]
+    rule = sentences.Chain()
+    rule.w = np.array([5.0])  # every free place is a boundary
+    assert len(sentences.decode(text, KNOWN, rule)) > 4
+    # transitions count: a strong weight against boundaries close to each other takes one away
+    near = sentences.Chain()
+    near.ids, near.w, near.move = chain().ids, chain().w, chain().move.copy()
+    near.move[1, 1] -= 100
+    assert len(sentences.decode(text, KNOWN, near)) < 4
+
+
+def test_gradient_of_the_chain():
+    """Expected tags are the derivative of the log partition sum."""
+    rng = np.random.default_rng(5)
+    n, size = 3, 4
+    on, letters, bins = np.ones((n, size), bool), rng.random((n, size)) < 0.7, rng.integers(0, sentences.BINS, (n, size)).astype(np.int8)
+    fixed, many, x = np.full((n, size), -1, np.int8), np.ones(n), np.arange(n * size).reshape(-1, 1)
+    m = sentences.Chain()
+    m.w, m.move = rng.normal(size=n * size), rng.normal(size=m.move.shape)
+    p, pairs = sentences._expected(m, x, on, letters, bins, fixed, many)
+    want, two = np.zeros((n, size)), np.zeros_like(m.move)
+    for i in range(n):
+        total = 0.0
+        for tags in itertools.product([0, 1], repeat=size):
+            s, before, open_, moves = 0.0, 1, False, []
+            for t, tag in enumerate(tags):
+                open_ = open_ or letters[i, t]
+                if tag and not open_:
+                    break
+                moves.append((before, tag, bins[i, t]))
+                s += m.move[before, tag, bins[i, t]] + tag * m.w[i * size + t]
+                before, open_ = tag, open_ and not tag
+            else:
+                total += np.exp(s)
+                want[i] += np.exp(s) * np.array(tags)
+                for k in moves:
+                    two[k] += np.exp(s) / 1.0
+        want[i] /= total
+        assert np.allclose(p[i], want[i])
+    assert np.allclose(pairs.sum(), n * size)
+
+
+def test_words_joined_or_broadcast(spark):
+    rng = random.Random(6)
+    said = ["Dr. Roe saw men.", "All left.", "They met Prof. Low.", "Many came."]
+    d = spark.createDataFrame([(i, "".join(x + rng.choice([" ", "\n\n"]) for x in rng.sample(said, 4))) for i in range(60)], "doc_id long, text string")
+    a, b = (sorted(map(tuple, sentences.sentence_ends(d, broadcast_words=n).collect())) for n in (10**6, 0))
+    assert a == b and len(a) == 240
+
+
+def test_keys_are_the_same_in_sql(spark):
+    texts = ["Dr. Roe (n. 3.) met am 3. Mai. It ended.Then J. K. came at 7.9. See Fig. 2. «Pas. » Fin...", "د. Roe. المتوسط. هل"]
+    got = {r.key for r in sentences.word_statistics(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    own = {p.key for t in texts for p in sentences.places(t) if p.key and not (t[p.end : p.end + 1].isalnum())}
+    assert got and got <= own
+
+
 def test_sentence_rows(spark):
     d = spark.createDataFrame([(1, "One. Two.", 0), (2, None, 0), (3, " ", 0), (4, "x" * 100_000, 0), (1, "One. Two.", 0)], "doc_id long, text string, end_pos int")
     got = collections.Counter(tuple(r) for r in sentences.sentence_ends(d).collect())
