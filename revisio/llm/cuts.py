@@ -2,10 +2,13 @@
 
 Lengths are computed again under other encodings (code points, UTF-8 bytes,
 entity escaping, JSON escaping, line ends of two characters).  Grouped by
-source, a hidden storage limit shows as a length that many more texts have
-than its neighbours.  Then the endings are inspected: a text is cut if its
-end cannot be an end, and a clean end counts as cut only at a limit at which
-cuts explain more clean ends than chance does.
+source and encoding, a hidden storage limit shows as a length that far more
+texts have than the lengths around it.  What the texts at the limits end with,
+less what texts of nearby lengths end with, is how cut texts end.  Then the
+endings are inspected: an ending counts as cut if, by what the limits taught,
+most texts that end so were cut; at a limit the same endings weigh more.  Marks
+that say themselves that a text was cut, and closing lines, which need no stop,
+are judged by what they say.
 """
 
 from __future__ import annotations
@@ -21,26 +24,25 @@ ENCODINGS = ("chars", "bytes", "entities", "json", "crlf")
 #: Labels of closing lines that end without a stop.
 LABELS = ("Keywords", "Registration", "Funding")
 #: What stands for a missing text.
-PLACEHOLDER = r"(?i)^\W*((no |the )?(abstract|text|summary|full text)?\W*(is )?(not (available|provided|found)|unavailable|missing|available|withheld|pending|to follow)|null|none|nil|nan?|n/?a|abstract|unknown|tbd|-*)\W*$"
-#: Marks that editors and systems leave where they cut.
-MARKER = r"(?i)(\.\.\.|…|\[\s*(\.\.\.|…)\s*\]|[(\[][^()\[\]]*\b(truncated|continued|cut off|abridged)\b[^()\[\]]*[)\]]|�)\s*$"
+PLACEHOLDER = r"(?i)^\W*((no |the )?(abstract|text|summary|full text)?\W*(is )?(not (available|provided|found)|unavailable|missing|available|withheld|pending|to follow)|null|none|nil|nan?|n/?a|abstract|unknown|tbd|-*)\W*$".replace(r"\W", r"[^\p{L}\p{N}]")
+#: Marks that editors and systems leave where they cut; in brackets at the end, these words.
+MARKER = r"(?i)(\.\.\.|…|\[\s*(\.\.\.|…)\s*\]|�)\s*$|</?[\w:]{0,20}$"
+SAID = r"(?i)\b(truncated|continued|cut off|abridged)\b[^()\[\]]*[)\]]\s*$"
 CLOSED = r"[.!?。！？．｡]\s*[\"'”’»)）\]』」“]*$|[\]』」]$"
 #: A word with a stop that may be an abbreviation.
 SHORT_WORD = r"(?<![\p{L}.])(?:(?:\p{L}{1,3}\.){2,}|\p{L}{1,5}\.)"
-#: A limit's length must be this many times as frequent as its neighbours, on both sides, ...
-SPIKE = 3.0
-#: ... and have at least this many rows.
-SPIKE_ROWS = 6
-#: Share of positions of running text at which a sentence ends.
-CLEAN_BY_CHANCE = 0.011
-
-
+#: Kinds of endings that no whole text should have; so much is believed of them before any limit was seen.
+SUSPECT, OTHER = ("open", "bare", "odd", "weak"), ("word", "clean")
+#: Rows at limits, and usual ones, that are counted for a kind of ending before any was seen: suspect kinds, others.
+BELIEF = ((8.0, 1.0), (4.0, 4.0))
+#: A kind of ending is one of cut texts if limits have it so many times as often as the lengths around them.
+LIFT = 3.0
+#: A length is a limit if its count exceeds what its neighbours have by so many standard errors.
+ERRORS = 6.0
+#: Neighbours of a length: from NEAR + 1 to FAR away, on both sides.
+NEAR, FAR = 2, 12
 #: Characters that some encoding lengthens or that open and close.
 SIGNS = r"""[^&<>"'\\\n\r\t()（）«»「」『』„“”]+"""
-#: A quotation or bracket left open is looked for in so many last characters, ...
-END = 300
-#: ... a closing line in so many.
-LINE = 160
 
 
 def _count(signs: Column, *wanted: str) -> Column:
@@ -60,70 +62,103 @@ def lengths(x: Column, signs: Column) -> dict[str, Column]:
     }
 
 
-def _open(end: Column) -> Column:
-    """Whether a bracket or quotation that opens near the end stays open."""
-    quote = r"[(（][^)）]*$|«[^»]*$|「[^」]*$|『[^』]*$|(?:^|[\s(（])[\"'](?=\S)[^\"']*$"
-    high = F.when(end.contains("„"), end.rlike(r"„[^“]*$")).otherwise(end.rlike(r"(?:^|[\s(])“(?=\S)[^”]*$"))
-    return end.rlike(quote) | high
+def _open(x: str) -> Column:
+    """Whether a bracket or quotation in the column stays open, wherever it opened: its last opening sign comes after its last closing one.
+
+    Straight quotation marks, and “ where no „ is, open only before a character and after a blank, a bracket or nothing.
+    """
+    after = lambda s: f"length(substring_index({x}, {s}, -1))"
+    pairs = F.expr(f"exists(array(struct('(' as a, '（' as b, ')' as c, '）' as d), struct('«' as a, '«' as b, '»' as c, '»' as d), struct('「' as a, '『' as b, '」' as c, '』' as d)), p -> least({after('p.a')}, {after('p.b')}) < least({after('p.c')}, {after('p.d')}))")
+
+    def opens(*signs: str) -> str:
+        n = " least(" + ", ".join(map(after, signs)) + ")" if len(signs) > 1 else after(signs[0])
+        return f"({n} > 0 and {n} < length({x}) and substr(concat(' ', {x}), length({x}) - {n}, 3) rlike r'^[\\s(（][\"“\\u0027]\\S')"
+
+    straight = F.expr(f"""instr(translate({x}, '"', "'"), "'") > 0 and {opens("'\"'", '"\'"')}""")
+    curled = F.expr(f"case when instr({x}, '„') > 0 then {after("'„'")} < {after("'“'")} when instr({x}, '“') > 0 then {after("'“'")} < {after("'”'")} and {opens("'“'")} else false end")
+    return pairs | straight | curled
 
 
-def _ending(end: Column, gap: Column) -> Column:
-    """How a text ends: gap, cut, label, word (a short word with a stop) or clean."""
-    label = r"\b(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"
+_LABEL = r"\b(" + "|".join(LABELS) + r"):\s[^.!?]*$"
+
+
+def _ending(x: Column, y: Column, gap: Column) -> Column:
+    """How a text ends: gap; marked (says that it was cut); open, bare, odd (kinds of SUSPECT); label; word (a short word with a stop); clean.  ``y`` are the last characters."""
     number = r"(?:\bCI|[=–±-]|\b[a-z]{2,})\s\d{1,3}\.$"
+    said = F.when(F.right(y, F.lit(1)).isin(")", "]"), F.substring_index(F.substring_index(x, "(", -1), "[", -1).rlike(SAID)).otherwise(False)
+    line = F.regexp_replace(F.substring_index(x, "\n", -1), r"[\p{Zs}\p{Cf}]+", " ")
     return (
         F.when(gap, "gap")
-        .when(F.right(end, F.lit(40)).rlike(MARKER + r"|</?[\w:]{0,20}$") | _open(end), "cut")
-        .when(F.right(end, F.lit(LINE)).rlike(label), "label")
-        .when(~F.right(end, F.lit(12)).rlike(CLOSED) | F.right(end, F.lit(30)).rlike(number + r"|(^|[\s(])\p{Lu}\.$|[,;:]\)?\.?$"), "cut")
-        .when(F.right(end, F.lit(20)).rlike(SHORT_WORD + "$"), "word")
+        .when(y.rlike(MARKER) | said, "marked")
+        .when(_open("x"), "open")
+        .when(~F.right(y, F.lit(1)).isin(".", "!", "?") & line.rlike(_LABEL), "label")
+        .when(~y.rlike(CLOSED), "bare")
+        .when(y.rlike(number + r"|(^|[\s(])\p{Lu}\.$|[,;:]\)?\.?$"), "odd")
+        .when(y.rlike(SHORT_WORD + "$"), "word")
         .otherwise("clean")
     )
 
 
 def inspected(texts: DataFrame, with_lengths: bool = True) -> DataFrame:
     """For ``(tbl, row_id, source, text)``: lengths, the kind of ending and what is needed to judge it; further columns stay."""
-    end = F.regexp_replace(F.regexp_replace(F.right("text", F.lit(END)), r"[\p{Zs}\p{Cf}]+", " "), r"(</[\w:]+>\s*)+$|\s+$", "")
-    gap = F.col("text").isNull() | ((F.length("text") < 60) & F.col("text").rlike(PLACEHOLDER))
+    x = F.when(F.right("text", F.lit(1)).rlike(r"[\s\p{Zs}\p{Cf}>]"), F.regexp_replace("text", r"([\s\p{Zs}\p{Cf}]*</[\w:]+>)*[\s\p{Zs}\p{Cf}]*$", "")).otherwise(F.col("text"))
+    gap = F.col("text").isNull() | F.col("text").rlike(PLACEHOLDER)
     signs = [F.regexp_replace("text", SIGNS, "").alias("signs")] if with_lengths else []
     keep = [c for c in texts.columns if c not in ("tbl", "row_id", "source", "text")]
-    t = texts.select("*", end.alias("x"), *signs, gap.alias("gap"))
+    t = texts.select("*", x.alias("x"), *signs, gap.alias("gap")).withColumn("y", F.regexp_replace(F.right("x", F.lit(48)), r"[\p{Zs}\p{Cf}]+", " "))
     src = F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim("source")), r"\s+", " "), F.lit("")), F.lit("(none)"))
-    tail = F.trim(F.regexp_replace(F.lower(F.regexp_extract(F.right("x", F.lit(LINE)), r"[:;,]\s*([^:;,]*)$", 1)), r"\d", "9"))
     n = lengths(F.col("text"), F.col("signs")) if with_lengths else {}
-    return t.select(
-        "tbl", "row_id", src.alias("source"), *keep, *[c.alias(e) for e, c in n.items()], _ending(F.col("x"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("text_hash"),
-        F.regexp_extract(F.right("x", F.lit(20)), SHORT_WORD + "$", 0).alias("word"), F.when(F.right("x", F.lit(LINE)).rlike("(" + "|".join(LABELS) + r"):\s[^.!?\n]*$"), tail).alias("tail"),
-    )
+    kind = t.select("tbl", "row_id", src.alias("source"), *keep, *[c.alias(e) for e, c in n.items()], _ending(F.col("x"), F.col("y"), F.col("gap")).alias("kind"), F.xxhash64("text").alias("text_hash"), "x", "y")
+    tail = F.trim(F.regexp_replace(F.lower(F.regexp_extract(F.regexp_replace(F.substring_index("x", "\n", -1), r"[\p{Zs}\p{Cf}]+", " "), r"[:;,]\s*([^:;,]*)$", 1)), r"\d", "9"))
+    return kind.select(*[c for c in kind.columns if c not in "xy"], F.when(F.col("kind") == "word", F.regexp_extract("y", SHORT_WORD + "$", 0)).otherwise("").alias("word"), F.when(F.col("kind") == "label", tail).alias("tail"))
 
 
 def abbreviations(texts: DataFrame) -> DataFrame:
     """``(word)``: short words with a stop after which texts mostly go on in lower case or with a digit."""
     parts = texts.select(F.split("text", r"\.[ \n]").alias("p")).where("size(p) > 1")
     last_and_next = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat(F.substring_index(F.element_at("p", i), " ", -1), F.lit(". "), F.substring(F.element_at("p", i + 1), 1, 1)))
-    hits = parts.select(F.explode(F.filter(last_and_next, lambda m: F.length(m) < 14)).alias("m")).where(F.length("m") > 2)
+    hits = parts.select(F.explode(F.filter(last_and_next, lambda m: (F.length(m) < 14) | (F.length(F.replace(m, F.lit("."), F.lit(""))) + 2 < F.length(m)))).alias("m")).where(F.length("m") > 2)
     n = hits.groupBy("m").count()
     by = n.groupBy(F.regexp_extract("m", SHORT_WORD + r"(?= \S$)", 0).alias("word")).agg(F.sum(F.when(F.col("m").rlike(r"[\p{Ll}\d(]$"), F.col("count")).otherwise(0)).alias("low"), F.sum("count").alias("all"))
     return by.where("word <> '' and low * 2 > all").select("word")
 
 
 def limits(rows: DataFrame) -> DataFrame:
-    """``(tbl, source, encoding, length, cut_rows, clean_rows, usual, explained)``: the hidden limits.
+    """``(tbl, source, encoding, length, kinds, excess)``: the hidden limits of each source, under the encoding that shows them best.
 
-    ``usual`` is how many clean ends the neighbouring lengths have; the limit
-    is ``explained`` if its cuts account for more clean ends than that.
+    ``kinds`` has, for each kind of ending, the rows at the limit and how many
+    rows of that kind the lengths around it have on average; ``excess`` is how
+    many rows more there are in all.  Closing lines are left out: a text may be
+    made to end with one at its full length.
     """
     each = F.explode(F.array(*[F.struct(F.lit(e).alias("encoding"), F.col(e).alias("length")) for e in ENCODINGS]))
-    n = rows.where("kind <> 'gap'").select("tbl", "source", F.expr("kind = 'cut'").alias("cut"), each.alias("e")).groupBy("tbl", "source", "e.encoding", "e.length")
-    n = n.agg(F.sum(F.col("cut").cast("long")).alias("cut_rows"), F.sum((~F.col("cut")).cast("long")).alias("clean_rows"))
-    near = n.withColumn("off", F.explode(F.sequence(F.lit(-12), F.lit(12)))).select("tbl", "source", "encoding", (F.col("length") + F.col("off")).alias("length"), "off", "cut_rows", "clean_rows")
-    far = F.abs("off") > 2
-    at = near.groupBy("tbl", "source", "encoding", "length").agg(
-        F.sum(F.when(F.col("off") == 0, F.col("cut_rows"))).alias("cut_rows"), F.sum(F.when(F.col("off") == 0, F.col("clean_rows"))).alias("clean_rows"),
-        F.sum(F.when(far, F.col("cut_rows")).otherwise(0)).alias("near"), (F.sum(F.when(far, F.col("clean_rows")).otherwise(0)) / 20).alias("usual"),
-    )
-    found = at.where((F.col("cut_rows") >= SPIKE_ROWS) & (F.col("cut_rows") > SPIKE * F.greatest(F.col("near") / 20, F.lit(0.5))))
-    return found.select("tbl", "source", "encoding", "length", "cut_rows", "clean_rows", "usual", (F.col("cut_rows") * CLEAN_BY_CHANCE > F.greatest("usual", F.lit(0.5))).alias("explained"))
+    n = rows.where("kind not in ('gap', 'label')").select("tbl", "source", "ending", each.alias("e")).groupBy("tbl", "source", "e.encoding", "e.length", "ending").agg(F.count("*").alias("c"))
+    near = n.withColumn("off", F.explode(F.sequence(F.lit(-FAR), F.lit(FAR)))).where(f"off = 0 or abs(off) > {NEAR}")
+    key = ["tbl", "source", "encoding", "length"]
+    at = near.select("tbl", "source", "encoding", (F.col("length") + F.col("off")).alias("length"), "ending", F.when(F.col("off") == 0, F.col("c")).otherwise(0).alias("here"), F.when(F.col("off") != 0, F.col("c")).otherwise(0).alias("there"))
+    at = at.groupBy(*key, "ending").agg(F.sum("here").alias("here"), (F.sum("there") / (2 * (FAR - NEAR))).alias("usual"))
+    at = at.groupBy(*key).agg(F.sum("here").alias("n"), F.sum("usual").alias("u"), F.collect_list(F.struct("ending", "here", "usual")).alias("kinds"))
+    found = at.withColumn("excess", F.col("n") - F.col("u")).where(F.col("excess") > ERRORS * F.sqrt(F.col("u") + 1))
+    best = found.groupBy("tbl", "source").agg(F.max_by("encoding", F.struct("excess", "encoding")).alias("encoding"))
+    return found.join(best, ["tbl", "source", "encoding"]).select(*key, "kinds", "excess")
+
+
+def taught(lim: DataFrame) -> DataFrame:
+    """``(ending, theta, lift)``: the share of cut texts that end so, and how many times as often as around them the limits have such endings.
+
+    Texts at a limit are cut ones and as many whole ones as nearby lengths
+    have.  So an ending of whole texts has a lift of 1, however many of those
+    there are, and one of cut texts a high one.  Few rows hardly move what is
+    believed at the start (BELIEF).  One row for each kind of ending.
+    """
+    spark = lim.sparkSession
+    start = spark.createDataFrame([(e, *(BELIEF[0] if e in SUSPECT else BELIEF[1])) for e in (*SUSPECT, *OTHER)], "ending string, here double, usual double")
+    seen = lim.select(F.explode("kinds").alias("k")).select("k.ending", F.col("k.here").cast("double").alias("here"), "k.usual").where(F.col("ending").isin(*SUSPECT, *OTHER))
+    t = start.unionByName(seen).groupBy("ending").agg(F.sum("here").alias("here"), F.sum("usual").alias("usual"))
+    more = F.greatest(F.col("here") - F.col("usual"), F.lit(0.0))
+    one = F.lit(1).alias("one")
+    all_ = t.agg(F.sum(more).alias("all")).select("*", one)
+    return t.select("*", one).join(all_, "one").select("ending", (more / F.col("all")).alias("theta"), (F.col("here") / F.col("usual")).alias("lift"))
 
 
 def corpus(records: DataFrame, fulltext: DataFrame) -> DataFrame:
@@ -142,9 +177,9 @@ def _by_ending(rows: DataFrame, texts: DataFrame) -> DataFrame:
     begun = begun.where("tail <> whole").groupBy("tail").agg(F.max("n").alias("longer"))
     usual = tails.join(begun, "tail", "left").select("tail", ((F.col("n") >= 2) & (F.coalesce("longer", F.lit(0)) < 12 * F.col("n"))).alias("usual_tail"))
     j = rows.join(short, "word", "left").join(usual, "tail", "left")
-    weak = (F.col("kind") == "word") & F.col("abbr")
-    cut = (F.col("kind") == "cut") | weak | ((F.col("kind") == "label") & ~F.coalesce("usual_tail", F.lit(False)))
-    return j.withColumn("cut", F.coalesce(cut, F.lit(False)))
+    weak = (F.col("kind") == "word") & F.coalesce("abbr", F.lit(False))
+    whole = F.col("kind").isin("gap", "word", "clean") & ~weak | ((F.col("kind") == "label") & F.coalesce("usual_tail", F.lit(False)))
+    return j.withColumn("ending", F.when(weak, "weak").otherwise(F.col("kind"))).withColumn("cut", ~whole)
 
 
 def ended(texts: DataFrame) -> DataFrame:
@@ -155,12 +190,22 @@ def ended(texts: DataFrame) -> DataFrame:
 
 
 def judged(texts: DataFrame) -> DataFrame:
-    """``(tbl, row_id, source, cut, gap)`` of every row; null, empty, blank and placeholder texts are not cut."""
-    rows = written(inspected(texts), "cuts")
-    lim = limits(rows).where("explained").groupBy("tbl", "source").agg(F.collect_set(F.struct("encoding", "length")).alias("at"))
-    j = _by_ending(rows, texts).join(lim, ["tbl", "source"], "left")
+    """``(tbl, row_id, source, cut, gap)`` of every row; null, empty, blank and placeholder texts are not cut.
+
+    The limits and what they teach are small: a row for each limit and kind of
+    ending.
+    """
+    j = written(_by_ending(written(inspected(texts), "cuts"), texts).drop("text_hash", "word", "tail", "abbr", "usual_tail"), "endings")
+    lim = written(limits(j), "limits")
+    model = written(taught(lim), "taught")
+    # at a limit: the cuts there that end so, against the rows that would end so anyway
+    per = lim.select("tbl", "source", "encoding", "length", "excess", F.explode("kinds").alias("k")).select("tbl", "source", "encoding", "length", "excess", "k.ending", "k.usual").join(model.select("ending", "theta"), "ending")
+    sure = per.where(F.col("excess") * F.col("theta") > F.col("usual")).groupBy("tbl", "source", "ending").agg(F.collect_set(F.struct("encoding", "length")).alias("at"))
+    by_ending = model.select("ending", "lift")
+    j = j.join(by_ending, "ending", "left").join(sure, ["tbl", "source", "ending"], "left")
     at_limit = reduce(lambda a, b: a | b, [F.array_contains("at", F.struct(F.lit(e).alias("encoding"), F.col(e).alias("length"))) for e in ENCODINGS])
-    cut = F.col("cut") | (F.col("kind").isin("clean", "word") & F.coalesce(at_limit, F.lit(False)))
+    said = F.col("kind").isin("marked", "label") & F.col("cut")
+    cut = said | (F.coalesce("lift", F.lit(0.0)) > LIFT) | F.coalesce(at_limit, F.lit(False))
     return j.select("tbl", "row_id", "source", cut.alias("cut"), (F.col("kind") == "gap").alias("gap"))
 
 

@@ -145,8 +145,35 @@ def test_hidden_limit_in_bytes(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcé ") for _ in range(300)) for _ in range(120)]
     rows = [rec(i, abstract=t.encode()[:100].decode(errors="ignore")) for i, t in enumerate(texts)]
-    lim = cuts.limits(cuts.inspected(cuts.corpus(records(spark, *rows), spark.createDataFrame([], "ft_id long, source string, text string"))))
-    assert "bytes" in {r.encoding for r in lim.where("length in (99, 100)").collect()}
+    corpus = cuts.corpus(records(spark, *rows), spark.createDataFrame([], "ft_id long, source string, text string"))
+    lim = cuts.limits(cuts._by_ending(cuts.inspected(corpus), corpus))
+    assert {(r.source, r.encoding) for r in lim.where("length in (99, 100)").collect()} == {("pubmed", "bytes")}
+
+
+def test_a_limit_decides_on_clean_ends(spark):
+    """A text that ends with a sentence is cut at its source's limit and whole elsewhere; without the limit it is whole."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(60))[: n - 1]
+    rows = [rec(i, abstract=text(200) + "x", source="limited") for i in range(300)]
+    rows += [rec(400 + i, abstract=text(150 + rng.randint(0, 400)) + ".", source="free") for i in range(300)]
+    clean = text(200) + "."
+    rows += [rec(900, abstract=clean, source="limited"), rec(901, abstract=clean, source="free"), rec(902, abstract=text(180) + ".", source="limited")]
+    none = spark.createDataFrame([], "ft_id long, source string, text string")
+    got = {r.row_id for r in cuts.cut_rows(records(spark, *rows), none).collect()}
+    assert got == set(range(300)) | {900}
+    few = [r for r in rows if r[0] >= 297]  # no limit shows in these
+    assert {r.row_id for r in cuts.cut_rows(records(spark, *few), none).collect()} == set(range(297, 300))
+
+
+def test_endings_far_from_the_end(spark):
+    """Quotations opened and closing lines begun long before the end; long markers; texts of other scripts without stops."""
+    long = "word " * 400
+    cut = ["He said: «" + long + "and left.", "(see " + long + "there.", "It is. [" + "much of this abstract, which is very long indeed, was truncated at this place]", "该效果能否持续"]
+    whole = ["It is so. Keywords: " + ", ".join(f"term{i}" for i in range(90)), "He said «" + long + "» and left."]
+    rows = [rec(i, abstract=x) for i, x in enumerate(cut + whole + ["And so" + whole[0]])]
+    got = {r.row_id for r in cuts.cut_rows(records(spark, *rows), spark.createDataFrame([], "ft_id long, source string, text string")).collect()}
+    assert got == set(range(len(cut)))
 
 
 # ---- consensus ------------------------------------------------------------------
