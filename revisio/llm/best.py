@@ -3,16 +3,15 @@
 Rows of one study are found through shared identifiers and titles.  For each
 field only real values compete: a whole plain abstract, a DOI that names a
 study, a possible year, a known source.  Among rows of equal trust the more
-current value wins.  Currency is reasoned from values: the states a field goes
-through (none, preprint, final; cut, wrapped, whole ...) are seen with dates in
-many studies, and the order in which one state follows another there is learnt
-as precedence; a study's own dates and this precedence order its values
-partially, and a topologically latest one is taken, whether dated or not.
+current value wins.  Currency is reasoned from values: which kind of value
+follows which (the registrant of a DOI, the source's name, the distance of a
+year from the study's first) is learnt from the first and the last dated rows of
+all studies as precedence.  A study's own dates and this precedence order its
+values partially, and a topologically latest one is taken, dated or not.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,8 @@ CAPITALS_LATIN = "ABEKMHOPCTYXISJABEZHIKMNOPTYX"
 #: What publishers and indexes add to an abstract.
 ADDED_BEFORE = r"(?i)^\W*abstract\b"
 ADDED_AFTER = r"(?i)all rights reserved|copyright\s*(©|\(c\)|\d{4})|©"
-SPLIT_STATES = {"doi": ("none", "preprint", "final"), "year": ("none", "impossible", "possible"), "abstract": ("gap", "cut", "mixed", "whole")}
+#: One kind of value precedes another if studies that show it first outnumber the others by so many standard errors.
+ERRORS = 2.0
 
 
 def _fold_table() -> tuple[str, str]:
@@ -73,7 +73,7 @@ def studies(records: DataFrame) -> DataFrame:
         F.when(pmid.rlike(r"^[1-9]\d*$"), pmid).alias("pmid"), ident("pmcid").alias("pmcid"), ident("openalex").alias("openalex"), place.alias("place"),
     )
     t = written(t.withColumn("th", F.when(F.col("t") != "", F.xxhash64("t"))).withColumn("short", F.length("t") < RUBRIC_LENGTH).drop("t"), "study-keys")
-    shared = t.where("th is not null and not short").groupBy("th").agg(F.min("pmid").alias("a"), F.max("pmid").alias("b"), F.approx_count_distinct("doi").alias("n"))
+    shared = t.where("th is not null and not short").groupBy("th").agg(F.min("pmid").alias("a"), F.max("pmid").alias("b"), F.count_distinct("doi").alias("n"))
     rubric = shared.where("a <> b or n > 2").select("th", F.lit(True).alias("rubric"))
     k = t.join(rubric, "th", "left")
     by_title = F.when(F.col("short") | F.col("rubric"), F.when(F.size(F.split("place", r"\|")) == 4, F.xxhash64(F.lit("place"), "th", "place"))).otherwise(F.xxhash64(F.lit("title"), "th"))
@@ -107,36 +107,80 @@ def plain_whole(text: Column) -> Column:
     return ~F.when(twice | added, True).when(looks.is_plain(text), False).otherwise(odd | cyr | greek | wide)
 
 
-def precedence(firsts: DataFrame, states: tuple[str, ...]) -> dict[str, int]:
-    """Topological level of each state, learnt from its first dates ``d_<state>`` in every study.
+def transitions(values: DataFrame) -> DataFrame:
+    """``(field, a, b)``: the kinds of the first and the last dated value of each group of ``group, field, cls, at``, where they differ."""
+    dated = values.where("at is not null and cls is not null")
+    ends = dated.groupBy("group", "field").agg(F.min_by("cls", F.struct("at", "cls")).alias("a"), F.max_by("cls", F.struct("at", "cls")).alias("b"), F.min("at").alias("x"), F.max("at").alias("y"))
+    return ends.where("a <> b and x < y").select("field", "a", "b")
 
-    A state precedes another if studies in which it came first outnumber the
-    others by more than two standard errors.  One row of counts reaches the
-    driver; there are as many states as the field has kinds of values.
+
+def precedence(steps: DataFrame) -> DataFrame:
+    """``(field, cls, after)``: kinds of values and the kinds that come later, closed under transitivity.
+
+    Each of the :func:`transitions` is a vote; votes that disagree within
+    chance give no order, and kinds that precede each other in a circle are in
+    none.  All sums are partial, so a group with a third of all rows is one
+    vote like others.
     """
-    pairs = [(a, b) for a in states for b in states if a != b]
-    row = firsts.agg(*[F.count_if(F.col(f"d_{a}") < F.col(f"d_{b}")).alias(f"{a}_{b}") for a, b in pairs]).first()
-    after = {a: {b for b in states if b != a and row[f"{a}_{b}"] - row[f"{b}_{a}"] > 2 * math.sqrt(row[f"{a}_{b}"] + row[f"{b}_{a}"])} for a in states}
-    level = dict.fromkeys(states, 0)
-    for _ in states:  # longest paths; a cycle of three or more ends with the rounds
-        for a in states:
-            for b in after[a]:
-                level[b] = max(level[b], min(level[a] + 1, len(states)))
-    return level
+    n = steps.groupBy("field", "a", "b").agg(F.count("*").alias("n"))
+    back = n.select("field", F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m"))
+    votes = n.join(back, ["field", "a", "b"], "left").na.fill(0, ["m"])
+    now = written(votes.where(F.col("n") - F.col("m") > ERRORS * F.sqrt(F.col("n") + F.col("m"))).select("field", F.col("a").alias("cls"), F.col("b").alias("after")), "precedence")
+    size = now.count()
+    while size:  # paths double in length each round
+        more = now.select("field", "cls", F.col("after").alias("mid")).join(now.select("field", F.col("cls").alias("mid"), "after"), ["field", "mid"]).select("field", "cls", "after")
+        now = written(now.unionByName(more).distinct(), "precedence")
+        grown = now.count()
+        if grown == size:
+            break
+        size = grown
+    return now.join(now.select("field", F.col("after").alias("cls"), F.col("cls").alias("after")), ["field", "cls", "after"], "left_anti")
+
+
+def latest(values: DataFrame, order: DataFrame) -> DataFrame:
+    """``(group, field, value)``: a topologically latest value of each group and field.
+
+    ``values`` has ``group, field, value, cls, at, ord``; ``order`` is a
+    :func:`precedence`.  Dates order the dated values, the precedence of their
+    kinds the others.  Nothing may come after the value taken: an undated one
+    that follows the latest dated one by precedence, else that one; without
+    dates, one that precedes none.  Among equals the one of most rows counts,
+    then the least ``ord``.  No pairs of values are formed: kinds meet kinds.
+    """
+    key = ["group", "field"]
+    v = written(values.where("value is not null").groupBy(*key, "value", "cls").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.min("ord").alias("ord")), "values")
+    kinds = v.select(*key, "cls").distinct()
+    over = kinds.join(order, ["field", "cls"]).join(kinds.withColumnRenamed("cls", "after"), [*key, "after"]).select(*key, "cls").distinct().withColumn("over", F.lit(True))
+    dated = v.where("at is not null").groupBy(*key).agg(F.max_by("cls", F.struct("at", "n", -F.col("ord"))).alias("d"))
+    j = v.join(over, [*key, "cls"], "left").join(dated, key, "left")
+    j = j.join(order.select("field", F.col("cls").alias("d"), F.col("after").alias("cls"), F.lit(True).alias("follows")), ["field", "d", "cls"], "left")
+    undated, free = F.col("at").isNull(), F.col("over").isNull()
+    rank = F.when(undated & free & F.col("follows"), 3).when(~undated, 2).when(free, 1).otherwise(0)
+    return j.groupBy(*key).agg(F.max_by("value", F.struct(rank.alias("r"), F.when(~undated, F.col("at")).alias("at"), "n", (-F.col("ord")).alias("o"))).alias("value"))
 
 
-def surviving(records: DataFrame, trust: DataFrame) -> DataFrame:
-    """``(first_ord, field, best)`` of each study with two or more rows; fields that no row can fill are absent.
+FIELDS = ("doi", "source", "year")
 
-    A year is possible from 1800 to the year after the newest retrieval.
-    ``abstract``: the least ``ord``, as text, of the rows whose abstract is the
-    study's whole abstract, plain and alone; of several such texts the one in
-    most rows counts, then the shortest.  ``doi``, ``source``, ``year``: from
-    the most trusted row with a real value; equal trust is settled by currency,
-    then by the least ``ord``.  A row without a known source is trusted least.
-    Every choice is a minimum or maximum of a partial aggregate, so a study
-    with a third of all rows is no hot spot.
-    """
+
+def _fields(newest: int | None) -> dict[str, Column]:
+    """The real DOI, the known source and the possible year of a row."""
+    return {"doi": F.col("doi"), "source": F.col("known"), "year": F.when(F.col("year").between(EARLIEST, newest + 1 if newest else 2**31 - 1), F.col("year")).cast("string")}
+
+
+def _kind(field: str, value: Column, y0: Column) -> Column:
+    """What kind of value it is: a DOI's registrant, a source, a year's distance from the study's first."""
+    return {"doi": F.substring_index(value, "/", 1), "source": value, "year": (value.cast("int") - y0).cast("string")}[field]
+
+
+def _values(rows: DataFrame, first: DataFrame, newest: int | None) -> DataFrame:
+    """``(group, field, value, cls, at, ord, rank)`` of the rows; ``first`` has each study's first year ``y0``."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value"), _kind(f, c, F.col("y0")).alias("cls")) for f, c in _fields(newest).items()])
+    v = rows.join(first.select("study", "y0"), "study").select(F.col("study").alias("group"), "ord", "at", "rank", F.explode(each).alias("e"))
+    return v.select("group", "ord", "at", "rank", "e.field", "e.value", "e.cls").where("value is not null")
+
+
+def _study_rows(records: DataFrame, trust: DataFrame) -> DataFrame:
+    """The rows of studies with two or more: ``study, first_ord, ord``, real values, trust rank, retrieval date and what is told of the abstract."""
     member = studies(records)
     several = member.groupBy("study").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n")).where("n > 1").select("study", "first_ord")
     name = F.regexp_replace(F.lower("source"), r"\W+", "")
@@ -144,38 +188,53 @@ def surviving(records: DataFrame, trust: DataFrame) -> DataFrame:
     # one pass over the abstracts: their endings, their hash and whether they are plain
     base = records.select(
         F.lit("records").alias("tbl"), F.col("ord").alias("row_id"), "source", F.col("abstract").alias("text"),
-        name.alias("s"), bare_doi(F.col("doi")).alias("doi"), "year", F.col("entry_type").alias("entry"), retrieved(F.col("retrieval_date")).alias("at"),
+        name.alias("s"), bare_doi(F.col("doi")).alias("doi"), "year", retrieved(F.col("retrieval_date")).alias("at"),
         F.xxhash64(F.when(F.col("abstract").rlike(r"\s\s|[\t\n\r]|^\s|\s$"), F.trim(F.regexp_replace("abstract", r"\s+", " "))).otherwise(F.col("abstract"))).alias("h"), F.length("abstract").alias("len"), plain_whole(F.col("abstract")).alias("plain"),
     )
     ends = cuts.ended(base).withColumnRenamed("row_id", "ord")
-    rows = written(member.join(several, "study").join(ends, "ord").join(src, "s", "left"), "study-rows")
-    rows = rows.withColumn("rank", F.coalesce("trust_rank", F.lit(2**31 - 1)))
+    return written(member.join(several, "study").join(ends, "ord").join(src, "s", "left").withColumn("rank", F.coalesce("trust_rank", F.lit(2**31 - 1))), "study-rows")
+
+
+def surviving(records: DataFrame, trust: DataFrame) -> DataFrame:
+    """``(first_ord, field, best)`` of each study with two or more rows; fields that no row can fill are absent.
+
+    A year is possible from 1800 to the year after the newest retrieval.
+    ``abstract``: the least ``ord``, as text, of the rows whose abstract is the
+    study's whole abstract, plain and alone; of several such texts the one in
+    most rows counts, then the shortest.  ``doi``, ``source``, ``year``: from
+    the most trusted row with a real value; where equally trusted rows differ,
+    the topologically latest value (:func:`latest`).  A row without a known
+    source is trusted least.  Every choice is a minimum or maximum of a partial
+    aggregate, so a study with a third of all rows is no hot spot.
+    """
+    rows = _study_rows(records, trust)
     newest = rows.agg(F.max(F.year("at"))).first()[0]
-    ok_year = F.col("year").between(EARLIEST, newest + 1 if newest else 2**31 - 1)
-    state = {
-        "doi": F.when(F.col("doi").isNull(), "none").when(F.col("entry") == "preprint", "preprint").otherwise("final"),
-        "year": F.when(F.col("year").isNull(), "none").when(ok_year, "possible").otherwise("impossible"),
-        "abstract": F.when(F.col("gap"), "gap").when(F.col("cut"), "cut").when(F.coalesce("plain", F.lit(False)), "whole").otherwise("mixed"),
-    }
-    rows = rows.select("*", *[c.alias(f"{f}_state") for f, c in state.items()])
-    seen = [F.min(F.when(F.col(f"{f}_state") == s, F.col("at"))).alias(f"{f}_{s}") for f, all_ in SPLIT_STATES.items() for s in all_]
-    firsts = rows.groupBy("study").agg(*seen)
-    level = {f: precedence(firsts.select(*[F.col(f"{f}_{s}").alias(f"d_{s}") for s in all_]), all_) for f, all_ in SPLIT_STATES.items()}
-
-    def current(field: str) -> Column:
-        """Sorts the more current value first: by learnt level, then by date, undated rows last."""
-        lv = F.coalesce(*[F.when(F.col(f"{field}_state") == s, F.lit(-n)) for s, n in level[field].items()])
-        return F.struct(lv.alias("level"), F.coalesce(-F.unix_date("at"), F.lit(2**31 - 1)).alias("age"))
-
-    def choice(field: str, value: Column, fit: Column) -> Column:
-        order = F.struct(F.col("rank"), *([current(field)] if field in level else []), F.col("ord"))
-        return F.min_by(F.when(fit, value), F.when(fit, order)).alias(field)
-
-    single = rows.groupBy("first_ord").agg(
-        choice("doi", F.col("doi"), F.col("doi").isNotNull()), choice("source", F.col("known"), F.col("known").isNotNull()), choice("year", F.col("year").cast("string"), F.coalesce(ok_year, F.lit(False))),
-    )
-    whole = rows.where("abstract_state = 'whole'").groupBy("first_ord", "h").agg(F.count("*").alias("n"), F.min("len").alias("len"), F.min("ord").alias("ord"))
+    # one aggregate: the values of the most trusted rows with the least and the greatest hash, and the first and last dated values
+    aggs = []
+    for f, c in _fields(newest).items():
+        h, dated = F.xxhash64(c), F.when(c.isNotNull(), F.col("at"))
+        order = lambda x: F.when(c.isNotNull(), F.struct("rank", x.alias("h")))  # noqa: B023, E731
+        when = F.when(dated.isNotNull(), F.struct("at", c.alias("c")))
+        aggs.append(F.struct(F.lit(f).alias("field"), F.min(F.when(c.isNotNull(), F.col("rank"))).alias("top"), F.min_by(c, order(h)).alias("a"), F.min_by(c, order(F.bitwise_not(h))).alias("b"), F.min(when).alias("x"), F.max(when).alias("y")))
+    years = _fields(newest)["year"].cast("int")
+    per = rows.groupBy("study").agg(F.min("first_ord").alias("first_ord"), F.min(years).alias("y0"), F.array(*aggs).alias("e"))
+    per = written(per.select("study", "first_ord", "y0", F.explode("e").alias("e")).select("study", "first_ord", "y0", "e.*").where("a is not null"), "trusted")
+    # where equally trusted rows differ, currency decides
+    ties = per.where("a <> b").select(F.col("study").alias("group"), "field", "top")
+    tied = _values(rows.join(ties.select(F.col("group").alias("study")).distinct(), "study", "left_semi"), per.groupBy("study").agg(F.min("y0").alias("y0")), newest)
+    kind = lambda c: F.coalesce(*[F.when(F.col("field") == f, _kind(f, F.col(c), F.col("y0"))) for f in FIELDS])
+    steps = per.where("x.at < y.at and x.c <> y.c").select("field", kind("x.c").alias("a"), kind("y.c").alias("b")).where("a <> b")
+    newer = latest(tied.join(ties, ["group", "field"]).where("rank = top"), precedence(steps)).select(F.col("group").alias("study"), "field", F.col("value").alias("newer"))
+    single = per.join(newer, ["study", "field"], "left").select("first_ord", "field", F.coalesce("newer", "a").alias("best"))
+    whole = rows.where("plain and not cut and not gap").groupBy("first_ord", "h").agg(F.count("*").alias("n"), F.min("len").alias("len"), F.min("ord").alias("ord"))
     abstract = whole.groupBy("first_ord").agg(F.min_by(F.col("ord").cast("string"), F.struct(-F.col("n"), F.col("len"), F.col("ord"))).alias("best"))
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("best")) for f in ("doi", "source", "year")])
-    out = single.select("first_ord", F.explode(fields).alias("x")).select("first_ord", "x.field", "x.best").where("best is not null")
-    return out.unionByName(abstract.select("first_ord", F.lit("abstract").alias("field"), "best"))
+    return single.unionByName(abstract.select("first_ord", F.lit("abstract").alias("field"), "best"))
+
+
+def current(records: DataFrame, trust: DataFrame) -> DataFrame:
+    """``(first_ord, field, best)``: the most current DOI, source and year of each study with two or more rows, whoever gives it."""
+    rows = _study_rows(records, trust)
+    newest = rows.agg(F.max(F.year("at"))).first()[0]
+    first = rows.groupBy("study").agg(F.min("first_ord").alias("first_ord"), F.min(_fields(newest)["year"].cast("int")).alias("y0"))
+    values = written(_values(rows, first, newest), "kinds")
+    return latest(values, precedence(transitions(values))).join(first, F.col("group") == F.col("study")).select("first_ord", "field", F.col("value").alias("best"))

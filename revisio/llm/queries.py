@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: best.surviving(table(s, d, "records"), table(s, d, "source_trust")),
+        "p1_current": lambda s, d: best.current(table(s, d, "records"), table(s, d, "source_trust")),
         "p2_found": lambda s, d: scans.noise(table(s, d, "pdf_documents")),
         "p2_paragraphs": lambda s, d: scans.paragraphs(table(s, d, "pdf_documents")),
         "p3_found": lambda s, d: copies.copy_links(table(s, d, "records")),

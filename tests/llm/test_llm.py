@@ -130,6 +130,37 @@ def test_best_values(spark):
     assert best.surviving(records(spark, *rows).limit(0), trust).count() == 0
 
 
+def test_currency_decides_between_equally_trusted_rows(spark):
+    """Other studies' dates teach that one registrant's DOIs are followed by another's; an undated row wins by that."""
+    rows = []
+    for i in range(20):
+        title = f"A trial of substance {'abcdefghijklmnopqrst'[i] * 5} for sleep in older adults"
+        rows += [rec(10 * i, title, f"10.1101/p{i}", at="2020-01-01", year=2020), rec(10 * i + 1, title, f"10.1016/f{i}", at="2021-06-01", year=2021)]
+    tie = "Another trial of something for sleep in older adults"
+    rows += [rec(500, tie, "10.1101/p", at="2022-01-01", year=2020), rec(501, tie, "10.1016/f", at=None, year=None)]
+    trust = spark.createDataFrame([("pubmed", 1, "index")], "source string, trust_rank int, kind string")
+    got = {(r.first_ord, r.field): r.best for r in best.surviving(records(spark, *rows), trust).collect()}
+    assert got[500, "doi"] == "10.1016/f" and got[0, "doi"] == "10.1016/f0" and got[0, "year"] == "2021"
+    # without the other studies nothing is learnt and the dated value stands
+    alone = {(r.first_ord, r.field): r.best for r in best.surviving(records(spark, *rows[-2:]), trust).collect()}
+    assert alone[500, "doi"] == "10.1101/p"
+    now = {(r.first_ord, r.field): r.best for r in best.current(records(spark, *rows), trust).collect()}
+    assert now[500, "doi"] == "10.1016/f" and now[500, "year"] == "2020"
+
+
+def test_precedence_and_latest_values(spark):
+    from datetime import date
+
+    steps = spark.createDataFrame([("f", "a", "b")] * 9 + [("f", "b", "c")] * 9 + [("f", "c", "d")] * 3 + [("f", "d", "c")] * 3 + [("f", "x", "y"), ("f", "y", "x")], "field string, a string, b string")
+    order = best.precedence(steps)
+    assert {(r.cls, r.after) for r in order.collect()} == {("a", "b"), ("b", "c"), ("a", "c")}
+    d = [(g, "f", v, v[0], at, n) for n, (g, v, at) in enumerate([(1, "a1", date(2021, 1, 1)), (1, "c1", None), (1, "a2", date(2022, 1, 1)), (2, "b1", None), (2, "a1", None), (3, "c1", date(2020, 1, 1)), (3, "a1", date(2021, 1, 1)), (4, "z1", None), (4, "z2", None), (4, "z2", None)])]
+    v = spark.createDataFrame([*d, (5, "f", None, None, None, 9)], "group long, field string, value string, cls string, at date, ord long")
+    # undated c follows a; dates beat what was learnt; what nothing orders goes by the number of rows
+    assert {r.group: r.value for r in best.latest(v, order).collect()} == {1: "c1", 2: "b1", 3: "a1", 4: "z2"}
+    assert best.latest(v.limit(0), best.precedence(steps.limit(0))).count() == 0
+
+
 # ---- cut texts ----------------------------------------------------------------
 
 
