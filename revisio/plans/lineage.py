@@ -13,25 +13,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset.
-
-    Outside a local master an unset folder is an error: a machine-local folder
-    could not be read by the other machines.
-    """
-    global _own_dir
+    """The folder named by ``spark.checkpoint.dir``; an unset one is an error, since executors may be on other machines."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="revisio-")
-    return f"file://{_own_dir}"
+    if spark.sparkContext.master.startswith("local["):
+        # one machine, as in tests: its own folder is shared
+        return f"file://{tempfile.gettempdir()}/revisio-shared"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,16 +32,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone
-            pass
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._revisio_path = path  # noqa: SLF001
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` made and nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_revisio_path", None)
+        if path:
+            _delete(path)
+
+
+def clean() -> None:
+    """Deletes all written tables: for a long-lived driver, once a query's result is saved."""
+    for path in list(_written):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone
+        pass
+
+
+atexit.register(clean)

@@ -56,6 +56,29 @@ def test_pool_of_one_and_of_none(spark):
     assert pooling.random_pool(e.limit(0), ["g"]).count() == 0
 
 
+def test_components_of_long_chains_and_of_any_graph(spark):
+    """A chain of a thousand nodes in any order, and random graphs against brute force; the rounds are few."""
+    import random
+
+    rng = random.Random(1)
+    names = rng.sample(range(10_000), 1000)
+    chain = [(names[i + d], f"k{i}") for i in range(999) for d in (0, 1)]
+    got = components(spark.createDataFrame(chain, "node long, key string")).collect()
+    assert {r.component for r in got} == {min(names)} and len(got) == 1000
+    links = [(rng.randrange(300), f"k{rng.randrange(200)}") for _ in range(330)]
+    root = {n: n for n, _ in links}
+    changed = True
+    while changed:
+        changed = False
+        for k in {k for _, k in links}:
+            of = [n for n, x in links if x == k]
+            low = min(root[n] for n in of)
+            for n in of:
+                if root[n] != low:
+                    root[n], changed = low, True
+    assert {tuple(r) for r in components(spark.createDataFrame(links, "node long, key string")).collect()} == set(root.items())
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, "x"), (3, "x"), (3, "y"), (9, "y"), (1, "z"), (4, None)], "node long, key string")
     assert {tuple(r) for r in components(links).collect()} == {(5, 3), (3, 3), (9, 3), (1, 1)}
