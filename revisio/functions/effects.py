@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from revisio.functions import dist
+
 Z = 1.959963984540054
 LOG, LOGIT, ATANH = ("OR", "RR", "HR", "IRR", "ROM"), ("PROP",), ("COR", "R")
 
@@ -136,15 +138,94 @@ def mean_sd_from_range(n: Column, low: Column, median: Column, high: Column) ->
     return F.when((n >= 2) & (low <= median) & (median <= high), F.struct((w * (low + high) / 2 + (1 - w) * median).alias("mean"), sd.alias("sd")))
 
 
-def recomputed(events: tuple[Column, Column, Column, Column], means: tuple[Column, ...], reported: tuple[Column, Column, Column], measure: str) -> Column:
-    """``(y, v, provenance)`` from the best raw data: event counts, else means, else the reported estimate with its interval."""
-    est, lower, upper = reported
-    counts = two_by_two(*events, measure if measure in ("OR", "RR", "RD") else "RD")
-    groups = mean_difference(*means) if measure == "MD" else hedges_g(*means)
-    m = F.lit(measure)
-    se = se_from_ci(lower, upper, m)
-    ci = F.when(se > 0, F.struct(_to_scale(est, scale_of(m)).alias("y"), (se * se).alias("v")))
-    first, second = (counts, groups) if measure in ("OR", "RR", "RD") else (groups, F.lit(None).cast("struct<y:double,v:double>"))
-    best = F.coalesce(first, second if measure not in ("OR", "RR", "RD") else F.lit(None).cast("struct<y:double,v:double>"), ci)
-    how = F.when(first.isNotNull(), "counts" if measure in ("OR", "RR", "RD") else "means").when(ci.isNotNull(), "interval")
-    return F.when(best.isNotNull(), F.struct(best["y"].alias("y"), best["v"].alias("v"), how.alias("provenance")))
+def mean_sd_from_five(n: Column, low: Column, q1: Column, median: Column, q3: Column, high: Column) -> Column:
+    """Mean and standard deviation from the five-number summary, weighing extremes and quartiles by the number of values."""
+    n, low, q1, median, q3, high = map(_double, (n, low, q1, median, q3, high))
+    w1, w2 = 2.2 / (2.2 + F.pow(n, F.lit(0.75))), 0.7 - 0.72 / F.pow(n, F.lit(0.55))
+    mean = w1 * (low + high) / 2 + w2 * (q1 + q3) / 2 + (1 - w1 - w2) * median
+    sd = F.try_divide(high - low, 4 * norm_ppf((n - 0.375) / (n + 0.25))) + F.try_divide(q3 - q1, 4 * norm_ppf((0.75 * n - 0.125) / (n + 0.25)))
+    return F.when((n >= 2) & (low <= q1) & (q1 <= median) & (median <= q3) & (q3 <= high), F.struct(mean.alias("mean"), sd.alias("sd")))
+
+
+def sd_from_se(se: Column, n: Column) -> Column:
+    return F.when((n > 0) & (se > 0), _double(se) * F.sqrt(n))
+
+
+def sd_from_ci(lower: Column, upper: Column, n: Column) -> Column:
+    """The standard deviation of one group from the normal 95 % interval of its mean."""
+    return F.when((n > 0) & (upper > lower), (_double(upper) - lower) / (2 * Z) * F.sqrt(n))
+
+
+@F.pandas_udf(DoubleType())
+def t_upper(p: pd.Series, df: pd.Series) -> pd.Series:
+    """The t value that is exceeded with half of ``p`` as probability."""
+    return pd.Series([dist.t_ppf(1 - a / 2, b) if a == a and b == b and 0 < a < 1 and b > 0 else None for a, b in zip(p, df)], dtype="float64")
+
+
+def sd_from_p(m1: Column, n1: Column, m2: Column, n2: Column, p: Column) -> Column:
+    """The common standard deviation of two groups from the p value of their difference's t test."""
+    m1, n1, m2, n2, p = map(_double, (m1, n1, m2, n2, p))
+    t = t_upper(p, n1 + n2 - 2)
+    return F.when((n1 > 0) & (n2 > 0) & (t > 0) & (m1 != m2), F.abs(m1 - m2) / (t * F.sqrt(1 / n1 + 1 / n2)))
+
+
+def hedges_g_direct(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n2: Column) -> Column:
+    """The standardised mean difference with the usual approximation of the small-sample factor, which also scales the variance."""
+    m1, s1, n1, m2, s2, n2 = map(_double, (m1, s1, n1, m2, s2, n2))
+    df = n1 + n2 - 2
+    sp = F.sqrt(F.try_divide((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2, df))
+    d, j = F.try_divide(m1 - m2, sp), 1 - F.try_divide(F.lit(3.0), 4 * df - 1)
+    return _pair(j * d, j * j * (F.try_divide(n1 + n2, n1 * n2) + F.try_divide(d * d, 2 * df)), (n1 > 0) & (n2 > 0) & (df > 1) & (sp > 0))
+
+
+def log_odds_half(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The log odds ratio of four cells, a half added to each if one is empty."""
+    more = F.when(F.least(a, b, c, d) == 0, 0.5).otherwise(0.0)
+    cells = [_double(x) + more for x in (a, b, c, d)]
+    y = F.ln(cells[0]) - F.ln(cells[1]) - F.ln(cells[2]) + F.ln(cells[3])
+    return _pair(y, sum((F.try_divide(F.lit(1.0), x) for x in cells[1:]), F.try_divide(F.lit(1.0), cells[0])), F.least(a, b, c, d) >= 0)
+
+
+def fisher_z(r: Column, n: Column) -> Column:
+    """A correlation on Fisher's scale; values at the ends are drawn in by a millionth."""
+    edge = F.lit(1 - 1e-6)
+    return _pair(F.atanh(F.least(F.greatest(_double(r), -edge), edge)), F.try_divide(F.lit(1.0), _double(n) - 3), n > 3)
+
+
+def logit_proportion(events: Column, n: Column) -> Column:
+    """A proportion on the logit scale; with none or all events a half is added to both sides."""
+    e, m = _double(events), _double(n)
+    more = F.when((e == 0) | (e == m), 0.5).otherwise(0.0)
+    yes, no = e + more, m - e + more
+    ok = (m > 0) & (e >= 0) & (e <= m)
+    return _pair(F.when(ok, F.ln(yes) - F.ln(no)), F.try_divide(F.lit(1.0), yes) + F.try_divide(F.lit(1.0), no), ok)
+
+
+def recomputed(row: dict[str, Column], measure: Column) -> Column:
+    """``(y, v, provenance)`` on the analysis scale from the best raw data that a row offers; null if it offers none.
+
+    ``row`` has columns by name, missing ones null: ``a, n1, c, n2`` (counts),
+    ``m1, s1, m2, s2`` (means and deviations), ``med1, q1_1, q3_1`` and the
+    same of arm 2, ``se1, se2``, ``p``, ``estimate, lower, upper``.  Counts come
+    first for the measures of 2x2 tables, then means, whose missing deviations
+    are taken from quartiles, standard errors, the p value or the other arm;
+    last the reported estimate with its interval.
+    """
+    no = F.lit(None).cast("double")
+    g = lambda n: _double(row[n]) if n in row else no
+    m = F.upper(measure)
+    n1, n2 = g("n1"), g("n2")
+    counts = F.coalesce(*[F.when(m == x, two_by_two(g("a"), n1, g("c"), n2, x)) for x in ("OR", "RR", "RD")])
+    arm = [mean_sd_from_quartiles(n, g(f"q1_{i}"), g(f"med{i}"), g(f"q3_{i}")) for i, n in ((1, n1), (2, n2))]
+    mean = [F.coalesce(g(f"m{i}"), arm[i - 1]["mean"]) for i in (1, 2)]
+    by_p = sd_from_p(mean[0], n1, mean[1], n2, g("p"))
+    own = [F.coalesce(g(f"s{i}"), arm[i - 1]["sd"], sd_from_se(g(f"se{i}"), n)) for i, n in ((1, n1), (2, n2))]
+    sd = [F.coalesce(own[0], own[1], by_p), F.coalesce(own[1], own[0], by_p)]
+    args = (mean[0], sd[0], n1, mean[1], sd[1], n2)
+    means = F.when(m == "SMD", hedges_g(*args)).when(m == "MD", mean_difference(*args))
+    se = se_from_ci(g("lower"), g("upper"), m)
+    ci = F.when(se > 0, F.struct(_to_scale(g("estimate"), scale_of(m)).alias("y"), (se * se).alias("v")))
+    ways = (("counts", counts), ("means", means), ("interval", ci))
+    best = F.coalesce(*[w for _, w in ways])
+    how = F.coalesce(*[F.when(w.isNotNull(), n) for n, w in ways])
+    return F.when(best["y"].isNotNull() & (best["v"] > 0), F.struct(best["y"].alias("y"), best["v"].alias("v"), how.alias("provenance")))

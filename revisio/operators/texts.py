@@ -6,24 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Headings that open a section.
-HEADINGS = ("abstract", "background", "introduction", "methods", "materials and methods", "statistical analysis", "results", "discussion", "limitations", "conclusion", "conclusions", "references", "funding")
-#: Forms in which statistics are reported.
+HEADINGS = (
+    "abstract", "background", "introduction", "related work", "materials and methods", "methods", "materials", "patients and methods", "study design", "data and methods", "statistical analysis",
+    "results", "findings", "discussion", "limitations", "conclusion", "conclusions", "references", "bibliography", "acknowledgements", "supplementary", "appendix",
+)
+SPLIT = r"(?imd)^[ \t]*(?:\d+(?:\.\d+)*\.?[ \t]+)?(" + "|".join(sorted(HEADINGS, key=len, reverse=True)) + r")[ \t]*:?[ \t]*$"
+
+#: A number as reports print it, and what stands between the ends of an interval.
+_NUM = r"[-−]?(?:\d+\.)?\d+"
+_TO = r"(?:\s*[,;–-]\s*|\s+to\s+)"
+#: Names of effect measures and of measures of accuracy.
+EFFECTS = ("aOR", "aHR", "OR", "RR", "HR", "SMD", "MD", "Cohen's d", "Hedges' g")
+ACCURACY = ("AUROC", "AUPRC", "AUC", "F1", "accuracy", "sensitivity", "specificity", "precision", "recall")
+#: Kinds of reported statistics, in the order in which a finding is given to one of them.
 STATISTICS = {
-    "p_value": r"(?i)\bp\s*[<>=≤≥]\s*0?\.\d+",
-    "ci": r"(?i)95\s*%?\s*CI[:\s]*[\[(]?\s*-?\d+\.?\d*\s*(?:,|to|–|-)\s*-?\d+\.?\d*[\])]?",
-    "n": r"(?i)\bn\s*=\s*\d{1,6}\b",
-    "mean_sd": r"-?\d+\.?\d*\s*±\s*\d+\.?\d*",
+    "p_value": r"(?i)\bp *[<>=≤≥] *0?\.\d+",
+    "ci": rf"(?i)\b95 *% *CI[ :]*[\[(]?{_NUM}{_TO}{_NUM}",
+    "n": r"(?i)\bn *= *\d+\b",
+    "effect": rf"(?i)\b(?:{'|'.join(EFFECTS)}) *[=:] *{_NUM}",
+    "mean_sd": rf"{_NUM} *± *(?:\d+\.)?\d+",
+    "metric": rf"(?i)\b(?:{'|'.join(ACCURACY)})\b(?: (?:was|of|at|is))*[ =:]*(?:0?\.\d+|\d+(?:\.\d+)? ?%)",
 }
-SPLIT = r"(?im)^[ \t]*(?:\d+\.?\d*[ \t]+)?(" + "|".join(HEADINGS) + r")[ \t]*:?[ \t]*$"
 
 
-def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, kind, found, n)``: reported statistics of each text, white space and case apart."""
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(F.regexp_replace(x, r"\s+", "")).alias("found")))
+def statistics(docs: DataFrame, id_col: str, text_col: str, most: int = 200) -> DataFrame:
+    """``(id, kind, found, context)``: reported statistics of each text, each once by its letters and digits.
 
-    found = F.concat(*[of(k, p) for k, p in STATISTICS.items()])
-    return docs.select(id_col, F.explode(found).alias("f")).groupBy(id_col, "f.kind", "f.found").agg(F.count("*").alias("n"))
+    ``context`` is the statistic with up to thirty characters before it (since
+    the one before) and ten after it.  What two kinds match counts for the
+    first of them; a text gives at most ``most``, the first kinds first.
+    """
+
+    def of(rank: int, kind: str, pattern: str) -> Column:
+        parts = F.split(F.regexp_replace(F.translate(text_col, "\u0001\u0002", ""), pattern, "\u0001$0\u0002"), "\u0001")
+        before = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.right(F.substring_index(x, "\u0002", -1), F.lit(30)))
+        return F.transform(
+            F.arrays_zip(before.alias("b"), F.slice(parts, 2, 2**31 - 2).alias("x")),
+            lambda z: F.struct(F.lit(rank).alias("rank"), F.lower(F.regexp_replace(F.substring_index(z["x"], "\u0002", 1), r"\s+", "")).alias("found"), F.lit(kind).alias("kind"), F.concat(z["b"], F.substring_index(z["x"], "\u0002", 1), F.left(F.substring_index(z["x"], "\u0002", -1), F.lit(10))).alias("context")),
+        )
+
+    each = F.concat(*[of(n, k, p) for n, (k, p) in enumerate(STATISTICS.items())])
+    once = docs.select(id_col, F.explode(each).alias("f")).groupBy(id_col, "f.found").agg(F.min("f").alias("f"))
+    first = once.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list("f")), 1, most).alias("f"))
+    return first.select(id_col, F.explode("f").alias("f")).select(id_col, "f.kind", "f.found", "f.context")
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,22 +56,34 @@ def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = F.regexp_extract_all(text_col, F.lit(SPLIT), F.lit(1))
     bodies = F.slice(F.split(text_col, SPLIT), 2, 2**31 - 2)
     rows = docs.select(id_col, F.posexplode(F.arrays_zip(heads.alias("h"), bodies.alias("b"))).alias("pos", "x"))
-    s = rows.select(id_col, "pos", F.lower("x.h").alias("heading"), F.trim(F.regexp_replace("x.b", r"^\s+|\s+$", "")).alias("body")).where("body <> ''")
+    s = rows.select(id_col, "pos", F.lower("x.h").alias("heading"), F.regexp_replace("x.b", r"^\s+|\s+$", "").alias("body")).where("body <> ''")
     return s.groupBy(id_col, "heading").agg(F.max_by("body", "pos").alias("body"))
 
 
-def captions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, label, caption)`` of each line that is a figure's or table's caption."""
+#: A caption's line: what it belongs to with its number, and its text.
+CAPTION = r"(?i)^\s*((?:supplementary\s+)?(?:figure|fig|table)\b\.?\s*\d+)\s*[.:]?\s*(\S.*)$"
+
+
+def captions(docs: DataFrame, id_col: str, text_col: str, size: int = 300) -> DataFrame:
+    """``(id, label, caption)`` of each line that is a figure's or table's caption, its text shortened."""
     line = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("line"))
-    pattern = r"(?i)^\s*((?:Figure|Fig\.?|Table)\s*\d+)[.:]?\s*(.+)$"
-    return line.where(F.col("line").rlike(pattern)).select(id_col, F.regexp_extract("line", pattern, 1).alias("label"), F.regexp_extract("line", pattern, 2).alias("caption"))
+    return line.where(F.col("line").rlike(CAPTION)).select(id_col, F.regexp_extract("line", CAPTION, 1).alias("label"), F.left(F.regexp_extract("line", CAPTION, 2), F.lit(size)).alias("caption"))
 
 
-def references(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_refs)``: numbered entries of more than twelve characters after the references heading."""
-    tail = F.regexp_extract(text_col, r"(?is)(?:^|\n)[ \t]*(?:\d+\.?\s*)?references[ \t]*\n(.*)$", 1)
-    parts = F.filter(F.split(tail, r"\n(?=\s*(?:\[\d+\]|\d+\.)\s)"), lambda x: F.length(F.trim(x)) > 12)
-    return docs.select(id_col, F.size(parts).alias("n_refs"))
+def references(docs: DataFrame, id_col: str, text_col: str, most: int = 200) -> DataFrame:
+    """``(id, n, reference)``: the numbered entries of more than twelve characters in the section of references or the bibliography, white space as blanks."""
+    s = sections(docs, id_col, text_col).where("heading in ('references', 'bibliography')")
+    marked = F.split(F.regexp_replace("body", r"(?m)^[ \t]*(?:\[\d+\]|\d+\.)[ \t]+", "\u0001"), "\u0001")
+    flat = F.filter(F.transform(marked, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) > 12)
+    return s.select(id_col, "heading", F.posexplode(F.slice(flat, 1, most)).alias("n", "reference")).select(id_col, (F.col("n") + 1).alias("n"), "reference")
+
+
+def working_text(abstract: Column, sections_: Column, captions_: Column, statistics_: Column, size: int = 60_000) -> Column:
+    """A report in one text, parts with their names, shortened: the abstract, its sections but the references, its captions and its statistics."""
+    kept = F.map_filter(sections_, lambda k, v: ~F.lower(k).isin("references", "bibliography") & (v != ""))
+    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}\n"), c))
+    body = F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(F.upper(e["key"]), F.lit("\n"), e["value"])), "\n\n")
+    return F.left(F.concat_ws("\n\n", part("ABSTRACT", abstract), F.nullif(body, F.lit("")), part("CAPTIONS", F.array_join(captions_, "\n")), part("STATISTICS", F.array_join(statistics_, "; "))), F.lit(size))
 
 
 def inverted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,16 +117,42 @@ DIALECTS = {
 }
 
 
+#: How the dialects limit years; both, the first alone, the last alone.  Where only one form exists, open ends are 1800 and 3000.
+SPAN = {
+    "pubmed": ' AND ("{a}"[Date - Publication] : "{b}"[Date - Publication])',
+    "europepmc": " AND (PUB_YEAR:[{a} TO {b}])",
+    "wos": " AND PY=({a}-{b})",
+}
+
+
+def dated_query(dialect: str, query: Column, first: Column, last: Column) -> Column:
+    """A query limited to years; either end may be null, and dialects without a form for it stay as they are."""
+    none = first.isNull() & last.isNull()
+    if dialect == "scopus":
+        more = F.concat(F.coalesce(F.concat(F.lit(" AND PUBYEAR > "), (first - 1).cast("string")), F.lit("")), F.coalesce(F.concat(F.lit(" AND PUBYEAR < "), (last + 1).cast("string")), F.lit("")))
+    elif dialect in SPAN:
+        more = F.replace(F.replace(F.lit(SPAN[dialect]), F.lit("{a}"), F.coalesce(first.cast("string"), F.lit("1800"))), F.lit("{b}"), F.coalesce(last.cast("string"), F.lit("3000")))
+    else:
+        return query
+    return F.when(none, query).otherwise(F.concat(query, more))
+
+
+#: The elements of a JATS body that hold text.
+BODY = ("title", "p", "td", "th", "label", "caption")
+
+
 def body_text(xml: Column) -> Column:
-    """The paragraphs of an article's body in a JATS document, in order; null for what is no XML body."""
-    return F.nullif(F.trim(F.regexp_replace(F.array_join(F.xpath(xml, F.lit("//body//p//text()")), " "), r"\s+", " ")), F.lit(""))
+    """The text of an article's body in a JATS document, in order: titles, paragraphs, tables, labels, captions; null for what is no XML body."""
+    parts = F.xpath(xml, F.lit("//body//text()[" + " or ".join(f"ancestor::{e}" for e in BODY) + "]"))
+    return F.nullif(F.trim(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ")), F.lit(""))
 
 
-def relevant_window(text: Column, size: int) -> Column:
-    """A long text without its references, from a little before its results heading on, ``size`` characters; shorter ones stay whole."""
+def relevant_window(text: Column, size: int, digest: Column | None = None, digest_size: int = 12_000) -> Column:
+    """A long text without its references, from a little before its results heading on, ``size`` characters; shorter ones stay whole.  A digest comes first, shortened only to ``digest_size``."""
     body = F.regexp_replace(text, r"(?is)\n[ \t]*references[ \t]*\n.*$", "")
-    at = F.greatest(F.lit(1), F.regexp_instr(body, F.lit(r"(?im)^[ \t]*results[ \t]*$")) - size // 4)
-    return F.when(F.length(text) <= size, text).otherwise(F.substring(body, at, F.lit(size)))
+    at = F.greatest(F.lit(1), F.regexp_instr(body, F.lit(r"(?imd)^[ \t]*results[ \t]*$")) - size // 4)
+    window = F.when(F.length(text) <= size, text).otherwise(F.substring(body, at, F.lit(size)))
+    return window if digest is None else F.concat_ws("\n\n", F.left(digest, F.lit(digest_size)), window)
 
 
 def short_label(name: Column) -> Column:

@@ -150,8 +150,11 @@ def test_sections_and_inversion(spark):
 
 def test_statistics(spark):
     d = spark.createDataFrame([(1, "n = 40, p < 0.05 and P<0.05; 3.1 ± 0.2 (95% CI 1.2 to 3.4)")], "i int, t string")
-    got = {(r.kind, r.n) for r in texts.statistics(d, "i", "t").collect()}
-    assert got == {("n", 1), ("p_value", 2), ("mean_sd", 1), ("ci", 1)}
+    got = {(r.kind, r.found) for r in texts.statistics(d, "i", "t").collect()}
+    assert got == {("n", "n=40"), ("p_value", "p<0.05"), ("mean_sd", "3.1±0.2"), ("ci", "95%ci1.2to3.4")}
+    more = spark.createDataFrame([(1, "We found aOR = 1.4 and the AUC was 0.91 in all"), (2, None)], "i int, t string")
+    got = {r.kind: r for r in texts.statistics(more, "i", "t").collect()}
+    assert (got["effect"].found, got["effect"].context) == ("aor=1.4", "We found aOR = 1.4 and the A") and got["metric"].found == "aucwas0.91"
 
 
 RIS = "TY  - JOUR\nTI  - A trial of\n   sleep\nAU  - Doe, A\nAU  - Roe, B\nPY  - 2010/01\nSP  - 1\nEP  - 9\nDO  - https://doi.org/10.1234/r\nER  - \n"
