@@ -216,16 +216,18 @@ def recomputed(row: dict[str, Column], measure: Column) -> Column:
     m = F.upper(measure)
     n1, n2 = g("n1"), g("n2")
     counts = F.coalesce(*[F.when(m == x, two_by_two(g("a"), n1, g("c"), n2, x)) for x in ("OR", "RR", "RD")])
-    arm = [mean_sd_from_quartiles(n, g(f"q1_{i}"), g(f"med{i}"), g(f"q3_{i}")) for i, n in ((1, n1), (2, n2))]
-    mean = [F.coalesce(g(f"m{i}"), arm[i - 1]["mean"]) for i in (1, 2)]
-    by_p = sd_from_p(mean[0], n1, mean[1], n2, g("p"))
-    own = [F.coalesce(g(f"s{i}"), arm[i - 1]["sd"], sd_from_se(g(f"se{i}"), n)) for i, n in ((1, n1), (2, n2))]
+    # what a table has no column for is not even asked
+    arm = {i: mean_sd_from_quartiles(n, g(f"q1_{i}"), g(f"med{i}"), g(f"q3_{i}")) for i, n in ((1, n1), (2, n2)) if f"med{i}" in row}
+    mean = [F.coalesce(g(f"m{i}"), arm[i]["mean"] if i in arm else no) for i in (1, 2)]
+    by_p = sd_from_p(mean[0], n1, mean[1], n2, g("p")) if "p" in row else no
+    own = [F.coalesce(g(f"s{i}"), arm[i]["sd"] if i in arm else no, sd_from_se(g(f"se{i}"), n)) for i, n in ((1, n1), (2, n2))]
     sd = [F.coalesce(own[0], own[1], by_p), F.coalesce(own[1], own[0], by_p)]
     args = (mean[0], sd[0], n1, mean[1], sd[1], n2)
     means = F.when(m == "SMD", hedges_g(*args)).when(m == "MD", mean_difference(*args))
     se = se_from_ci(g("lower"), g("upper"), m)
     ci = F.when(se > 0, F.struct(_to_scale(g("estimate"), scale_of(m)).alias("y"), (se * se).alias("v")))
-    ways = (("counts", counts), ("means", means), ("interval", ci))
-    best = F.coalesce(*[w for _, w in ways])
-    how = F.coalesce(*[F.when(w.isNotNull(), n) for n, w in ways])
-    return F.when(best["y"].isNotNull() & (best["v"] > 0), F.struct(best["y"].alias("y"), best["v"].alias("v"), how.alias("provenance")))
+    kind = "struct<y:double,v:double>"
+    ways = F.array(*[F.struct(w.cast(kind).alias("w"), F.lit(n).alias("n")) for n, w in (("counts", counts), ("means", means), ("interval", ci))])
+    # each way stands in the plan once
+    good = F.filter(ways, lambda x: x["w"]["y"].isNotNull() & (x["w"]["v"] > 0))
+    return F.get(F.transform(good, lambda x: F.struct(x["w"]["y"].alias("y"), x["w"]["v"].alias("v"), x["n"].alias("provenance"))), 0)

@@ -99,7 +99,7 @@ def counts(records: DataFrame, unique: DataFrame, decisions: DataFrame, eligibil
     src = F.coalesce("source", F.lit(""))
     a = records.agg(F.count("*").alias("identified"), F.count_if(~flow.is_register(src)).alias("databases"), F.count_if(flow.is_register(src)).alias("registers"), F.count_distinct(src).alias("sources")).select(one, "*")
     b = unique.agg(F.count("*").alias("unique_records")).select(one, "*")
-    d = decisions.agg(F.count("*").alias("screened"), F.count_if("decision = 'include'").alias("sought"), F.count_if("decision = 'maybe'").alias("unsure")).select(one, "*")
+    d = decisions.agg(F.count("*").alias("screened"), F.count_if(F.col("decision") == "include").alias("sought"), F.count_if(F.col("decision") == "maybe").alias("unsure")).select(one, "*")
     read, yes = F.coalesce("retrieved", F.lit(False)), F.coalesce("eligible", F.lit(False))
     e = eligibility.agg(F.count_if(read).alias("assessed"), F.count_if(yes).alias("included"), F.count_if(yes & read).alias("included_read"), F.count_if(read & ~yes).alias("full_text_excluded"), F.count_if(~read).alias("not_retrieved")).select(one, "*")
     j = a.join(b, "one").join(d, "one").join(e, "one")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from revisio.functions.effects import ATANH, LOG, LOGIT, back, usable
 from revisio.operators import pooling
+from revisio.plans.lineage import written
 
 #: The measures that can be pooled, and the outcome of effects that name none.
 MEASURES = (*LOG, *LOGIT, *ATANH, "SMD", "MD", "RD", "G")
@@ -69,7 +70,7 @@ def results(effects: DataFrame, configured: str, least: int = 2) -> DataFrame:
     i2, i2_band, significant, participants``.  Whether a result is significant is
     read on the analysis scale, where no effect is 0 for ratios too.
     """
-    e = analysed(effects, configured)
+    e = written(analysed(effects, configured), "analysed")
     first = e.groupBy("outcome").agg(F.min("ord").alias("ord"), F.first("measure").alias("measure"))
     p = pooling.random_pool(e, ["outcome"]).where(F.col("k") >= least).join(first, "outcome").join(participants(effects), "outcome", "left")
     natural = lambda c: back(F.col(c), F.col("measure"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revisio.functions import effects as E
 from revisio.functions.text import bare_doi, norm_title, surname
 from revisio.operators import flow, graph, pooling, resolve, screening, texts
+from revisio.plans.lineage import written
 from revisio.sources import citations, sinks
 from revisio.sources.tables import table
 
@@ -42,7 +43,8 @@ def arms(s: SparkSession, d: str) -> DataFrame:
     j = li.select("l_suppkey", "l_linestatus", "l_quantity").join(su.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     n = j.groupBy("s_nationkey").agg(F.count_if(o & (F.col("l_quantity") > 10 + F.col("s_nationkey"))).alias("a"), F.count_if(o).alias("n1"), F.count_if(f & (F.col("l_quantity") > 25)).alias("c"), F.count_if(f).alias("n2"))
     n = n.join(na, F.col("s_nationkey") == F.col("n_nationkey")).join(re, F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select(F.col("r_name").alias("outcome"), F.col("n_name").alias("study"), F.col("n_nationkey").alias("moderator"), *[F.col(c).cast("double") for c in ("a", "n1", "c", "n2")])
+    # a row a study: written once, so that what follows does not scan the lines again for each of its sums
+    return written(n.select(F.col("r_name").alias("outcome"), F.col("n_name").alias("study"), F.col("n_nationkey").alias("moderator"), *[F.col(c).cast("double") for c in ("a", "n1", "c", "n2")]), "arms")
 
 
 def studies(s: SparkSession, d: str, measure: str = "RR") -> DataFrame:
@@ -127,7 +129,7 @@ def screen_pivot(s: SparkSession, d: str) -> DataFrame:
 
 
 def best_decision(s: SparkSession, d: str) -> DataFrame:
-    """The surest vote of each item, whatever the spelling or the scale; votes without confidence count least.  The SQL leaves those and percentages out."""
+    """The surest vote of each item, whatever the spelling or the scale; votes without confidence count least."""
     v = table(s, d, "screening").withColumns({"decision": screening.decision(F.col("decision")), "confidence": screening.unit_confidence(F.col("confidence"))}).where("decision is not null")
     return screening.best_decision(v, "uid", "decision", "confidence", "vote_id")
 
@@ -244,7 +246,6 @@ def queries() -> dict[str, Query]:
         "trim_and_fill": _meta(pooling.trim_and_fill, "k int, missing int, side string, adjusted double"),
         "meta_regression": _meta(pooling.meta_regression, "k int, intercept double, slope double, se_intercept double, se_slope double, p_slope double, tau2 double", "moderator"),
         "normalised_records": _norm,
-        "uid": uids,
         "flow_by_source": lambda s, d: flow.by_source(table(s, d, "records")),
         "flow_counts": flow_counts,
         "exclusion_reasons": lambda s, d: flow.reasons(table(s, d, "screening").where(screening.decision(F.col("decision")) == "exclude"), "reason"),
@@ -259,19 +260,12 @@ def queries() -> dict[str, Query]:
         "audit_events": audit,
         "anti_checks": anti,
         "source_union_cap": source_cap,
-        "dedup_ids": dedup_ids,
         "dedup_merged": dedup_merged,
         "snowball": snowball,
         "deinvert": deinvert,
         "match_documents": match_documents,
         "query_translate": queries_text,
-        "harvest_statistics": lambda s, d: texts.statistics(table(s, d, "fulltext").where("ft_id is not null"), "ft_id", "text").groupBy("kind").agg(F.count("*").alias("distinct_found"), F.sum("n").alias("found")),
-        "sections": lambda s, d: texts.sections(table(s, d, "pdf_documents"), "pdf_id", "full_text").groupBy("heading").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars")),
-        "decision_tally": lambda s, d: _r(texts.tally(table(s, d, "screening").where("decision is not null"), "reviewer", "decision"), "pct", places=4),
-        "relevant_window": lambda s, d: table(s, d, "fulltext").select("ft_id", F.length(texts.relevant_window(F.col("text"), 1200)).alias("kept")),
         "captions": lambda s, d: texts.captions(table(s, d, "pdf_documents"), "pdf_id", "full_text"),
-        "references": lambda s, d: texts.references(table(s, d, "pdf_documents"), "pdf_id", "full_text"),
-        "cite_keys": lambda s, d: sinks.cite_keys(table(s, d, "records"), "ord"),
         "bibtex_round_trip": lambda s, d: citations.parse_files(sinks.bibtex(table(s, d, "records").where("ord is not null"), "ord").select(F.concat(F.col("ord").cast("string"), F.lit(".bib")).alias("path"), F.col("entry").alias("text"))).select("file", "title", "doi", "year"),
     }
 
@@ -280,6 +274,10 @@ _DOI = r"""nullif(regexp_extract(regexp_replace(regexp_replace(lower(trim(regexp
 _TITLE = r"""trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"""
 
 
+#: A decision's label in SQL, whatever its spelling.
+_DECISION = """CASE WHEN regexp_replace(lower(trim(decision)), '[^a-z]', '', 'g') IN ('include', 'included', 'incl', 'yes', 'accept') THEN 'include' WHEN regexp_replace(lower(trim(decision)), '[^a-z]', '', 'g') IN ('exclude', 'excluded', 'excl', 'no', 'reject') THEN 'exclude' WHEN regexp_replace(lower(trim(decision)), '[^a-z]', '', 'g') IN ('maybe', 'unsure', 'unclear', 'uncertain') THEN 'maybe' END"""
+
+
 def oracle_sql() -> dict[str, str]:
     final = "fin AS (SELECT uid, max(lower(trim(final))) AS final FROM screening_log WHERE trim(final) <> '' GROUP BY uid), got AS (SELECT DISTINCT uid FROM fulltext WHERE retrieved)"
     counts = f"""WITH {final}, b AS (SELECT count(*) AS screened, count(*) FILTER (final = 'included') AS sought, count(*) FILTER (final = 'included' AND got.uid IS NOT NULL) AS assessed FROM fin LEFT JOIN got USING (uid)),
@@ -311,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "normalised_records": f"SELECT ord, {_TITLE} AS norm, coalesce({_DOI}, '') AS bare, coalesce(lower(regexp_split_to_array(trim(replace(authors[1], ',', ' ')), '\\s+')[1]), '') AS first_author FROM records",
         "flow_by_source": "SELECT source, count(*) AS n, regexp_matches(lower(coalesce(source, '')), 'clinicaltrials|clinical-trials|prospero|ictrp|isrctn|anzctr|drks|chictr|ctri|eudract|regist') AS register FROM records GROUP BY source",
         "flow_counts": counts + " SELECT * FROM fc",
-        "exclusion_reasons": "SELECT coalesce(nullif(trim(reason), ''), 'Other') AS reason, count(*) AS n FROM screening WHERE decision = 'exclude' GROUP BY 1",
+        "exclusion_reasons": f"SELECT coalesce(nullif(trim(reason), ''), 'Other') AS reason, count(*) AS n FROM screening WHERE {_DECISION} = 'exclude' GROUP BY 1",
         "ledger_checks": counts + """ SELECT 'screened = excluded + sought' AS check_name, screened AS lhs, excluded + sought AS rhs, screened = excluded + sought AS passed FROM fc
           UNION ALL SELECT 'sought = assessed + not retrieved', sought, assessed + not_retrieved, sought = assessed + not_retrieved FROM fc
           UNION ALL SELECT 'assessed <= identified', least(assessed, identified), assessed, least(assessed, identified) = assessed FROM fc""",
@@ -319,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
           e AS (SELECT CAST(sum(x.c * y.c) AS DOUBLE) AS cross_ FROM (SELECT a AS l, count(*) AS c FROM p GROUP BY a) x JOIN (SELECT b AS l, count(*) AS c FROM p GROUP BY b) y USING (l))
           SELECT CAST(n AS BIGINT) AS n, round(same / n, 8) AS observed, round(cross_ / (n * n), 8) AS expected, round((same / n - cross_ / (n * n)) / (1 - cross_ / (n * n)), 8) AS kappa FROM n, e""",
         "screen_pivot": "SELECT uid, arg_max(decision, vote_id) FILTER (reviewer = 'reviewer_1') AS reviewer_1, arg_max(decision, vote_id) FILTER (reviewer = 'reviewer_2') AS reviewer_2, arg_max(decision, vote_id) FILTER (reviewer = 'adjudicator') AS adjudicator FROM screening GROUP BY uid",
-        "best_decision": "SELECT uid, decision, confidence FROM screening WHERE confidence <= 1 AND decision IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uid ORDER BY confidence DESC, vote_id) = 1",
+        "best_decision": f"SELECT uid, decision, confidence FROM (SELECT uid, vote_id, {_DECISION} AS decision, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS confidence FROM screening) WHERE decision IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uid ORDER BY confidence DESC NULLS LAST, vote_id) = 1",
         "adjudicate": """SELECT CASE WHEN reviewer_1 = reviewer_2 AND reviewer_1 IN ('include', 'exclude') THEN reviewer_1 ELSE coalesce(nullif(trim(adjudicator), ''), CASE WHEN reviewer_1 = 'exclude' AND reviewer_2 = 'exclude' THEN 'exclude' ELSE 'include' END) END AS decision, count(*) AS n
           FROM (SELECT DISTINCT * FROM screening_log) GROUP BY 1""",
         "affinity": f"""WITH t AS (SELECT ord, list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', title, abstract)), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS w FROM records)
@@ -342,6 +340,5 @@ def oracle_sql() -> dict[str, str]:
           '((TITLE:' || source || ' OR ABSTRACT:' || source || ') OR (TITLE:"sleep quality" OR ABSTRACT:"sleep quality")) AND ((TITLE:trial OR ABSTRACT:trial))' AS europepmc,
           'TITLE-ABS-KEY(' || source || ' OR "sleep quality") AND TITLE-ABS-KEY(trial)' AS scopus, 'TS=(' || source || ' OR "sleep quality") AND TS=(trial)' AS wos,
           '("Abstract":' || source || ' OR "Abstract":"sleep quality") AND ("Abstract":trial)' AS ieee, '(' || source || ' OR "sleep quality") AND (trial)' AS plain FROM mix_targets""",
-        "decision_tally": "WITH n AS (SELECT reviewer, decision, count(*) AS n FROM screening WHERE decision IS NOT NULL GROUP BY 1, 2) SELECT reviewer, decision, n, round(100.0 * n / sum(n) OVER (PARTITION BY reviewer), 4) AS pct FROM n",
-        "captions": r"""WITH l AS (SELECT pdf_id, unnest(string_split(full_text, chr(10))) AS line FROM pdf_documents) SELECT pdf_id, regexp_extract(line, '(?i)^\s*((?:Figure|Fig\.?|Table)\s*\d+)[.:]?\s*(.+)$', 1) AS label, regexp_extract(line, '(?i)^\s*((?:Figure|Fig\.?|Table)\s*\d+)[.:]?\s*(.+)$', 2) AS caption FROM l WHERE regexp_matches(line, '(?i)^\s*((?:Figure|Fig\.?|Table)\s*\d+)[.:]?\s*(.+)$')""",
+        "captions": f"""WITH l AS (SELECT pdf_id, unnest(string_split(full_text, chr(10))) AS line FROM pdf_documents) SELECT pdf_id, regexp_extract(line, '{texts.CAPTION}', 1) AS label, left(regexp_extract(line, '{texts.CAPTION}', 2), 300) AS caption FROM l WHERE regexp_matches(line, '{texts.CAPTION}')""",
     }

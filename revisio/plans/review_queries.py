@@ -11,6 +11,7 @@ from revisio.functions import effects as E
 from revisio.functions import text as X
 from revisio.operators import flow, pooling, resolve, review, screening, synthesis, texts
 from revisio.plans import core_queries as C
+from revisio.plans.lineage import written
 from revisio.sources import sinks
 from revisio.sources.tables import table
 
@@ -91,7 +92,7 @@ def effects_table(s: SparkSession, d: str) -> DataFrame:
     m = F.when(k % 5 == 0, "OR").when(k % 7 == 0, "XX").otherwise("RR")
     rr, odds = (E.two_by_two(F.col("a"), F.col("n1"), F.col("c"), F.col("n2"), x) for x in ("RR", "OR"))
     e = F.when(m == "OR", odds).otherwise(rr)
-    return a.select(F.col("study"), k.alias("ord"), F.when(k % 6 == 0, F.lit(None)).otherwise(F.col("outcome")).alias("outcome"), m.alias("measure"), F.exp(e["y"]).alias("estimate"), F.sqrt(e["v"]).alias("se"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.when(k % 4 > 0, F.col("n1")).alias("n_i"), F.col("n2").alias("n_c"), (F.col("n1") + 1).alias("sample_size"))
+    return written(a.select(F.col("study"), k.alias("ord"), F.when(k % 6 == 0, F.lit(None)).otherwise(F.col("outcome")).alias("outcome"), m.alias("measure"), F.exp(e["y"]).alias("estimate"), F.sqrt(e["v"]).alias("se"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.when(k % 4 > 0, F.col("n1")).alias("n_i"), F.col("n2").alias("n_c"), (F.col("n1") + 1).alias("sample_size")), "effects")
 
 
 _EFFECTS = C._ARMS + """,
@@ -104,15 +105,15 @@ ana AS (SELECT et.* FROM et JOIN dm USING (outcome, measure) WHERE measure IN ('
 pa AS (SELECT outcome, coalesce(sum(n_i + n_c), sum(sample_size)) AS participants FROM et GROUP BY outcome),
 af AS (SELECT outcome, count(*) AS k, min(ord) AS ord, max(measure) AS measure, sum(y / v) / sum(1 / v) AS mu, sum(1 / v) AS sw, sum(1 / (v * v)) AS sw2 FROM ana GROUP BY outcome),
 ah AS (SELECT outcome, max(k) AS k, max(af.ord) AS ord, max(af.measure) AS measure, sum((y - mu) * (y - mu) / v) AS q, max(sw) AS sw, max(sw2) AS sw2 FROM ana JOIN af USING (outcome) GROUP BY outcome),
-at AS (SELECT *, CASE WHEN k > 1 THEN greatest(0, (q - (k - 1)) / (sw - sw2 / sw)) ELSE 0 END AS tau2, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q * 100) ELSE 0 END AS i2 FROM ah),
-ar AS (SELECT outcome, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS mu, 1 / sqrt(sum(1 / (v + tau2))) AS se FROM ana JOIN at USING (outcome) GROUP BY outcome)"""
+att AS (SELECT *, CASE WHEN k > 1 THEN greatest(0, (q - (k - 1)) / (sw - sw2 / sw)) ELSE 0 END AS tau2, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q * 100) ELSE 0 END AS i2 FROM ah),
+ar AS (SELECT outcome, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS mu, 1 / sqrt(sum(1 / (v + tau2))) AS se FROM ana JOIN att USING (outcome) GROUP BY outcome)"""
 _Z = "1.959963984540054"
 _RESULTS = f"""{_EFFECTS}, res AS (SELECT outcome, measure, CAST(k AS BIGINT) AS k, ord, round(exp(mu), 5) AS estimate, round(exp(mu - {_Z} * se), 5) AS lower, round(exp(mu + {_Z} * se), 5) AS upper, round(tau2, 5) AS tau2, round(q, 5) AS q, round(i2, 5) AS i2,
-  CASE WHEN i2 < 40 THEN 'low' WHEN i2 < 60 THEN 'moderate' WHEN i2 < 75 THEN 'substantial' ELSE 'considerable' END AS i2_band, (mu - {_Z} * se > 0 OR mu + {_Z} * se < 0) AS significant, participants FROM at JOIN ar USING (outcome) LEFT JOIN pa USING (outcome) WHERE k >= 2)"""
+  CASE WHEN i2 < 40 THEN 'low' WHEN i2 < 60 THEN 'moderate' WHEN i2 < 75 THEN 'substantial' ELSE 'considerable' END AS i2_band, (mu - {_Z} * se > 0 OR mu + {_Z} * se < 0) AS significant, participants FROM att JOIN ar USING (outcome) LEFT JOIN pa USING (outcome) WHERE k >= 2)"""
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
-    return C._r(synthesis.results(effects_table(s, d), "OR").withColumn("k", F.col("k").cast("long")), "estimate", "lower", "upper", "tau2", "q", "i2", places=5)
+    return written(C._r(synthesis.results(effects_table(s, d), "OR").withColumn("k", F.col("k").cast("long")), "estimate", "lower", "upper", "tau2", "q", "i2", places=5), "results")
 
 
 def effect_forms(s: SparkSession, d: str) -> DataFrame:
@@ -142,18 +143,18 @@ def _i2(s: SparkSession, d: str) -> DataFrame:
     return C._r(t, "i2", "h", "i2_lower", "i2_upper", places=3)
 
 
-_I2 = f"""WITH {C._FIX}, x AS (SELECT outcome, k, q, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q * 100) ELSE 0 END AS i2, sqrt(greatest(q / (k - 1), 1)) AS h FROM ht),
-  y AS (SELECT *, CASE WHEN q > k THEN (ln(q) - ln(k - 1)) / (2 * (sqrt(2 * q) - sqrt(2.0 * k - 3))) ELSE sqrt(1 / (2.0 * (k - 2)) * (1 - 1 / (3 * pow(k - 2, 2)))) END AS se FROM x)
-  SELECT outcome, round(i2, 3) AS i2, round(h, 3) AS h, round(greatest(0, 100 * (1 - exp(-2 * (ln(h) - {_Z} * se)))), 3) AS i2_lower, round(greatest(0, 100 * (1 - exp(-2 * (ln(h) + {_Z} * se)))), 3) AS i2_upper FROM y"""
+_I2 = f"""WITH {C._FIX}, x AS (SELECT outcome, k, q, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q * 100) ELSE 0 END AS i2, CASE WHEN k > 1 THEN sqrt(greatest(q / (k - 1), 1)) ELSE 1 END AS h FROM ht),
+  y AS (SELECT *, CASE WHEN k < 3 OR q <= 0 THEN NULL WHEN q > k THEN (ln(q) - ln(k - 1)) / (2 * (sqrt(2 * q) - sqrt(2.0 * k - 3))) ELSE sqrt(1 / (2.0 * (k - 2)) * (1 - 1 / (3 * pow(k - 2, 2)))) END AS se FROM x WHERE k >= 1)
+  SELECT outcome, round(i2, 3) AS i2, round(h, 3) AS h, CASE WHEN k >= 3 AND q > 0 THEN round(greatest(0, 100 * (1 - exp(-2 * (ln(h) - {_Z} * se)))), 3) END AS i2_lower, CASE WHEN k >= 3 AND q > 0 THEN round(greatest(0, 100 * (1 - exp(-2 * (ln(h) + {_Z} * se)))), 3) END AS i2_upper FROM y"""
 
 _REML = f"""WITH RECURSIVE {C._EFF}, l AS (SELECT outcome, list(y ORDER BY study) AS ys, list(v ORDER BY study) AS vs FROM eff GROUP BY outcome),
-  it(outcome, ys, vs, t, n) AS (SELECT outcome, ys, vs, CAST(0.01 AS DOUBLE), 0 FROM l UNION ALL
-    SELECT outcome, ys, vs, greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(1, len(ys) + 1), i -> ((ys[i] - mu) * (ys[i] - mu) - vs[i]) / ((vs[i] + t) * (vs[i] + t)))) / list_sum(list_transform(vs, x -> 1 / ((x + t) * (x + t)))) + 1 / list_sum(list_transform(vs, x -> 1 / (x + t)))), n + 1
-    FROM (SELECT *, list_sum(list_transform(range(1, len(ys) + 1), i -> ys[i] / (vs[i] + t))) / list_sum(list_transform(vs, x -> 1 / (x + t))) AS mu FROM it) WHERE n < 1500)
-  SELECT outcome, len(ys) AS k, round(t, 5) AS tau2, round(list_sum(list_transform(range(1, len(ys) + 1), i -> ys[i] / (vs[i] + t))) / list_sum(list_transform(vs, x -> 1 / (x + t))), 5) AS mu, round(1 / sqrt(list_sum(list_transform(vs, x -> 1 / (x + t)))), 5) AS se FROM it WHERE n = 1500"""
+  it(outcome, ys, vs, t, n) AS (SELECT outcome, ys, vs, CAST(CASE WHEN len(ys) > 1 THEN 0.01 ELSE 0 END AS DOUBLE), 0 FROM l UNION ALL
+    SELECT outcome, ys, vs, greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(1, len(ys) + 1), lambda i: ((ys[i] - mu) * (ys[i] - mu) - vs[i]) / ((vs[i] + t) * (vs[i] + t)))) / list_sum(list_transform(vs, lambda x: 1 / ((x + t) * (x + t)))) + 1 / list_sum(list_transform(vs, lambda x: 1 / (x + t)))), n + 1
+    FROM (SELECT *, list_sum(list_transform(range(1, len(ys) + 1), lambda i: ys[i] / (vs[i] + t))) / list_sum(list_transform(vs, lambda x: 1 / (x + t))) AS mu FROM it) WHERE n < 1500)
+  SELECT outcome, len(ys) AS k, round(t, 5) AS tau2, round(list_sum(list_transform(range(1, len(ys) + 1), lambda i: ys[i] / (vs[i] + t))) / list_sum(list_transform(vs, lambda x: 1 / (x + t))), 5) AS mu, round(1 / sqrt(list_sum(list_transform(vs, lambda x: 1 / (x + t)))), 5) AS se FROM it WHERE n = 1500"""
 _TAU = f"""WITH {C._FIX}, z AS (SELECT outcome, study, (y - mu) / sqrt(v - 1 / sw) AS d, v FROM eff JOIN fx USING (outcome)),
   p AS (SELECT a.outcome, sign(a.d - b.d) * sign(a.v - b.v) AS s, (a.d = b.d)::INT AS td, (a.v = b.v)::INT AS tv FROM z a JOIN z b ON a.outcome = b.outcome AND a.study < b.study)
-  SELECT outcome, round(sum(s) / sqrt((count(*) - sum(td)) * (count(*) - sum(tv))), 6) AS tau FROM p GROUP BY outcome"""
+  SELECT outcome, tau FROM (SELECT DISTINCT outcome FROM eff) LEFT JOIN (SELECT p.outcome, round(sum(s) / sqrt((count(*) - sum(td)) * (count(*) - sum(tv))), 6) AS tau FROM p JOIN fx USING (outcome) WHERE k >= 3 GROUP BY p.outcome) USING (outcome)"""
 
 
 def text_forms(s: SparkSession, d: str) -> DataFrame:
@@ -169,7 +170,7 @@ _TEXT = r"""SELECT ord, regexp_replace(strip_accents(coalesce(authors[1], '')),
   replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html,
   replace(replace(replace(regexp_replace(replace(coalesce(title, ''), '\', chr(1)), '([&%$#_{}])', '\\\1', 'g'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}'), chr(1), '\textbackslash{}') AS latex,
   TRY_CAST(left(retrieval_date, 4) AS INTEGER) AS year, trim(regexp_replace(CASE WHEN trim(journal) <> '' THEN journal END, '\s+', ' ', 'g')) AS journal, CAST(nullif(regexp_extract(raw, '((?:19|20)[0-9]{2})', 1), '') AS INTEGER) AS raw_year,
-  CAST(len(list_filter(map_entries(coalesce(ids, MAP {})), x -> x.key NOT IN ('doi', 'pmid') AND x.value <> '')) AS INTEGER) AS n_other, array_to_string(found_by, '; ') AS found_by FROM records"""
+  CAST(len(list_filter(map_entries(coalesce(ids, MAP {})), lambda x: x.key NOT IN ('doi', 'pmid') AND x.value <> '')) AS INTEGER) AS n_other, array_to_string(found_by, '; ') AS found_by FROM records"""
 
 
 def _styles(s: SparkSession, d: str) -> DataFrame:
@@ -196,9 +197,9 @@ _DATED = """WITH g AS (SELECT source, CASE WHEN length(source) % 2 = 0 THEN 2010
 
 def _grounding(s: SparkSession, d: str) -> DataFrame:
     r = _records(s, d)
-    inc = review.included(_eligibility(s, d), r).withColumn("resolvable", review.resolvable(resolve.id_keys(), F.col("url")))
+    inc = written(review.included(_eligibility(s, d), r).select("uid", review.resolvable(resolve.id_keys(), F.col("url")).alias("resolvable")), "included")
     pool = _results(s, d)
-    fx = synthesis.analysed(effects_table(s, d), "OR").join(pool.select("outcome"), "outcome", "left_semi")
+    fx = written(synthesis.analysed(effects_table(s, d), "OR").join(pool.select("outcome"), "outcome", "left_semi"), "forest")
     forest = fx.select("outcome", F.col("study").alias("uid"))
     return review.grounding(inc, _extractions(s, d), r.select("uid").unionByName(forest.select("uid")), forest, pool)
 
@@ -253,15 +254,15 @@ _SECTIONS = f"""l AS (SELECT pdf_id, unnest(string_split(full_text, chr(10))) AS
   g AS (SELECT *, count(head) OVER (PARTITION BY pdf_id ORDER BY n) AS sec FROM h),
   b AS (SELECT pdf_id, sec, max(head) AS heading, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE head IS NULL), ''), '^\\s+|\\s+$', '', 'g') AS body FROM g WHERE sec > 0 GROUP BY 1, 2),
   sc AS (SELECT pdf_id, heading, arg_max(body, sec) AS body FROM b WHERE body <> '' GROUP BY 1, 2)"""
-_REFS = f"""WITH {_SECTIONS}, x AS (SELECT pdf_id, heading, list_filter(list_transform(string_split(regexp_replace(body, '(?m)^[ \\t]*(?:\\[[0-9]+\\]|[0-9]+\\.)[ \\t]+', chr(1), 'g'), chr(1)), v -> trim(regexp_replace(v, '\\s+', ' ', 'g'))), v -> length(v) > 12)[1:200] AS refs FROM sc WHERE heading IN ('references', 'bibliography'))
+_REFS = f"""WITH {_SECTIONS}, x AS (SELECT pdf_id, heading, list_filter(list_transform(string_split(regexp_replace(body, '(?m)^[ \\t]*(?:\\[[0-9]+\\]|[0-9]+\\.)[ \\t]+', chr(1), 'g'), chr(1)), lambda v: trim(regexp_replace(v, '\\s+', ' ', 'g'))), lambda v: length(v) > 12)[1:200] AS refs FROM sc WHERE heading IN ('references', 'bibliography'))
   SELECT pdf_id, CAST(n AS INTEGER) AS n, reference FROM (SELECT pdf_id, unnest(refs) AS reference, generate_subscripts(refs, 1) AS n FROM x)"""
 _WINDOW = r"""WITH b AS (SELECT ft_id, text, regexp_replace(text, '(?is)\n[ \t]*references[ \t]*\n.*$', '') AS body FROM fulltext),
-  p AS (SELECT *, CASE WHEN regexp_matches(body, '(?im)^[ \t]*results[ \t]*$') THEN length(regexp_extract(body, '(?ism)\A(.*?)^[ \t]*results[ \t]*$', 1)) + 1 ELSE 0 END AS at FROM b)
-  SELECT ft_id, CASE WHEN length(text) <= 300 THEN text ELSE substring(body, greatest(1, at - 75), 300) END AS kept FROM p"""
+  p AS (SELECT *, CASE WHEN regexp_matches(body, '(?im)^[ \t]*results[ \t]*$') THEN length(regexp_extract(body, '(?ism)\A(.*?)^[ \t]*results[ \t]*$', 1)) + 1 ELSE 0 END AS pos FROM b)
+  SELECT ft_id, CASE WHEN length(text) <= 300 THEN text ELSE substring(body, greatest(1, pos - 75), 300) END AS kept FROM p"""
 _CITE = """WITH b AS (SELECT ord, coalesce(nullif(regexp_replace(regexp_replace(strip_accents(lower(regexp_split_to_array(trim(replace(authors[1], ',', ' ')), '\\s+')[1])), '[^\\x00-\\x7f]', '', 'g'), '[^a-z]', '', 'g'), ''), 'anon') || coalesce(CAST(year AS VARCHAR), 'nd') AS base FROM records),
   n AS (SELECT ord, base, row_number() OVER (PARTITION BY base ORDER BY ord) - 1 AS r FROM b)
   SELECT ord, base || CASE WHEN r = 0 THEN '' WHEN r <= 26 THEN chr(CAST(96 + r AS INTEGER)) WHEN r <= 702 THEN chr(CAST(97 + (r - 27) // 26 AS INTEGER)) || chr(CAST(97 + (r - 1) % 26 AS INTEGER)) ELSE 'x' || r END AS key FROM n"""
-_REACH = f"""WITH RECURSIVE k AS (SELECT DISTINCT ord, unnest(list_filter([{', '.join([f"'doi:' || coalesce({_doi(_own('doi'))}, {_doi('doi')})", f"'pmid:' || lower(coalesce({_own('pmid')}, nullif(trim(pmid), '')))"] + [f"'{s}:' || lower({_own(s)})" for s in ('pmcid', 'arxiv', 'openalex', 's2')])}], x -> x IS NOT NULL)) AS key FROM records),
+_REACH = f"""WITH RECURSIVE k AS (SELECT DISTINCT ord, unnest(list_filter([{', '.join([f"'doi:' || coalesce({_doi(_own('doi'))}, {_doi('doi')})", f"'pmid:' || lower(coalesce({_own('pmid')}, nullif(trim(pmid), '')))"] + [f"'{s}:' || lower({_own(s)})" for s in ('pmcid', 'arxiv', 'openalex', 's2')])}], lambda x: x IS NOT NULL)) AS key FROM records),
   m AS (SELECT key, min(ord) AS lo FROM k GROUP BY key), g AS (SELECT DISTINCT k.ord AS a, lo AS b FROM k JOIN m USING (key)), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
   reach(a, b) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a)
   SELECT a AS ord, min(b) AS cluster FROM reach GROUP BY a HAVING a <> min(b)"""
@@ -326,7 +327,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     base = f"{_R}, {_FINAL}, {_ELIG}"
-    title = "t AS (SELECT uid, arg_min(title, ord) AS title, arg_min(doi, ord) AS doi FROM r GROUP BY uid)"
+    title = "t AS (SELECT uid, title, doi FROM r QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ord) = 1)"
     ids = "uid NOT LIKE 'sha:%' OR coalesce(trim(url), '') <> ''"
     words = "trim(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9]+', ' ', 'g'))"
     return {
