@@ -74,7 +74,9 @@ def _open(x: str) -> Column:
         n = " least(" + ", ".join(map(after, signs)) + ")" if len(signs) > 1 else after(signs[0])
         return f"({n} > 0 and {n} < length({x}) and substr(concat(' ', {x}), length({x}) - {n}, 3) rlike r'^[\\s(（][\"“\\u0027]\\S')"
 
-    straight = F.expr(f"""instr(translate({x}, '"', "'"), "'") > 0 and {opens("'\"'", '"\'"')}""")
+    round_ = F.expr(f"""case when octet_length({x}) = length({x}) then instr({x}, '(') > 0 and {after("'('")} < {after("')'")} end""")
+    pairs = F.coalesce(round_, pairs)  # a text in ASCII has no other brackets
+    straight = F.expr(f"""(instr({x}, '"') > 0 or instr({x}, "'") > 0) and {opens("'\"'", '"\'"')}""")
     curled = F.expr(f"case when instr({x}, '„') > 0 then {after("'„'")} < {after("'“'")} when instr({x}, '“') > 0 then {after("'“'")} < {after("'”'")} and {opens("'“'")} else false end")
     return pairs | straight | curled
 
