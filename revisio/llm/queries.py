@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: scans.noise(table(s, d, "pdf_documents")),
         "p2_paragraphs": lambda s, d: scans.paragraphs(table(s, d, "pdf_documents")),
         "p3_found": lambda s, d: copies.copy_links(table(s, d, "records")),
+        "p3_collapsed": lambda s, d: copies.collapsed(table(s, d, "records")),
         "p4_found": lambda s, d: consensus.unsupported(table(s, d, "screening"), table(s, d, "screening_log")),
         "p4_consensus": lambda s, d: consensus.consensus(table(s, d, "screening"), table(s, d, "screening_log")),
         "p4_raters": lambda s, d: consensus.reliability(table(s, d, "screening"), table(s, d, "screening_log")),
@@ -51,5 +52,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": rf"""WITH k AS (SELECT ord, replace(lower(upper(regexp_replace(title, '[\s\p{{P}}$+<=>^`|~]+', '', 'g'))), 'ς', 'σ') AS t, {_DOI} AS d FROM records),
           c AS (SELECT ord, min(ord) OVER (PARTITION BY t, d) AS first_ord FROM k WHERE t <> '') SELECT first_ord, ord AS copy_ord FROM c WHERE ord <> first_ord""",
+        "p3_collapsed": rf"""WITH k AS (SELECT ord, replace(lower(upper(regexp_replace(title, '[\s\p{{P}}$+<=>^`|~]+', '', 'g'))), 'ς', 'σ') AS t, {_DOI} AS d FROM records)
+          SELECT min(ord) AS first_ord, count(*) AS copies FROM k WHERE t <> '' GROUP BY t, d""",
         "p5_found": pairs,
     }
