@@ -277,3 +277,32 @@ def test_all_votes_count_whatever_their_spelling_and_scale(spark, tmp_path):
     best = {r.uid: (r.decision, r.confidence) for r in q["best_decision"](spark, str(tmp_path)).collect()}
     assert best == {"a": ("exclude", 0.9), "b": ("include", None), "c": ("exclude", 0.8), "e": ("exclude", 0.6)}
     assert {tuple(r) for r in q["exclusion_reasons"](spark, str(tmp_path)).collect()} == {("dose", 2), ("Other", 1)}
+
+
+def test_saved_outputs_and_resume(spark, tmp_path):
+    d = frame(spark, rec(1, "A trial", "10.1234/a", authors=["Doe J"], year=2001, ids={"doi": "10.1234/a"}), rec(2, "B", authors=[], found_by=["x", "y"])).withColumn("uid", F.col("ord").cast("string"))
+    votes = spark.createDataFrame([("1", "include"), ("2", "exclude")], "uid string, decision string")
+    base = str(tmp_path)
+    sinks.handoff(d, votes, f"{base}/handoff")
+    assert [r.uid for r in spark.read.json(f"{base}/handoff").collect()] == ["1"]
+    sinks.included_csv(d.where("ord = 1"), f"{base}/included")
+    assert spark.read.csv(f"{base}/included", header=True).first().citation == "Doe J. A trial. . 2001."
+    sinks.all_sources(d, f"{base}/sources")
+    assert {r.found_by for r in spark.read.csv(f"{base}/sources/csv", header=True).collect()} == {None, "x; y"} and spark.read.json(f"{base}/sources/json").count() == 2
+    sinks.dossier({"votes": votes, "records": d}, f"{base}/dossier")
+    assert spark.read.csv(f"{base}/dossier/votes", header=True).count() == spark.read.json(f"{base}/dossier/records").count() == 2
+    sinks.save_state({"votes": votes}, f"{base}/state")
+    assert sinks.resumed(spark, f"{base}/state", "votes")["votes"].count() == 2
+    q = spark.createDataFrame([("t", "d", "q1"), ("t", "d", "q2")], "tool string, domain string, question string")
+    a = spark.createDataFrame([("t", "d", "q1", "Yes")], "tool string, domain string, question string, answer string")
+    assert {r.answer for r in sinks.worksheet(q).collect()} == {""} and {(r.question, r.answer) for r in sinks.worksheet(q, a).collect()} == {("q1", "Yes"), ("q2", "")}
+
+
+def test_more_effect_forms(spark):
+    one = spark.range(1)
+    five = one.select(E.mean_sd_from_five(*map(F.lit, (100.0, 2.0, 8.0, 10.0, 12.0, 18.0))).alias("e"), E.mean_sd_from_five(*map(F.lit, (100.0, 9.0, 8.0, 10.0, 12.0, 18.0))).alias("bad")).first()
+    assert five.e.mean == pytest.approx(10) and five.e.sd == pytest.approx(3.1, abs=0.2) and five.bad is None
+    # t of 2.0 with 58 degrees of freedom has p = 0.0502
+    sd = one.select(E.sd_from_p(*map(F.lit, (5.0, 30, 4.0, 30, 0.0502))).alias("s")).first().s
+    assert sd == pytest.approx(1 / (2.0 * (2 / 30) ** 0.5), rel=1e-3)
+    assert one.select(E.log_odds_half(*map(F.lit, (0, 10, 5, 5))).alias("e")).first().e.y < 0
