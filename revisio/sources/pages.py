@@ -51,3 +51,26 @@ def _split(fields: str) -> list[str]:
 def _typed(field: str) -> str:
     name, _, kind = field.strip().partition(" ")
     return f"{name}:{kind}"
+
+
+#: XML services: the element of one result and the paths of its fields.
+XML: dict[str, tuple[str, dict[str, str]]] = {
+    "pubmed": ("PubmedArticle", {"source_id": "//MedlineCitation/PMID", "title": "//ArticleTitle", "doi": "//ArticleIdList/ArticleId[@IdType='doi']", "year": "//PubDate/Year", "journal": "//Journal/Title", "abstract": "//Abstract/AbstractText"}),
+    "arxiv": ("entry", {"source_id": "//id", "title": "//title", "doi": "//doi", "year": "//published", "journal": "//journal_ref", "abstract": "//summary"}),
+}
+
+
+def xml_records_of(pages: DataFrame, service: str, column: str = "value") -> DataFrame:
+    """As :func:`records_of` for services that answer in XML; namespaces are dropped, parts of an abstract joined by blanks, and pages without results give none."""
+    tag, paths = XML[service]
+    bare = F.regexp_replace(F.regexp_replace(column, r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"(</?)\w+:", "$1")
+    each = pages.select(F.explode(F.regexp_extract_all(bare, F.lit(rf"(?s)(<{tag}[\s>].*?</{tag}>)"), F.lit(1))).alias("x"))
+    text = lambda path: F.trim(F.regexp_replace(F.array_join(F.xpath("x", F.lit(path + "//text()")), " "), r"\s+", " "))
+    got = each.select(F.lit(service).alias("source"), *[text(p).alias(n) for n, p in paths.items()])
+    year = F.nullif(F.regexp_extract("year", r"^((?:19|20)\d{2})", 1), F.lit("")).cast("int")
+    return got.withColumn("doi", bare_doi(F.col("doi"))).withColumn("year", year).where("title <> ''")
+
+
+def preprints(records: DataFrame, publisher: str = "publisher") -> DataFrame:
+    """The records of a general service that come from the preprint servers bioRxiv and medRxiv."""
+    return records.where(F.lower(publisher).rlike("biorxiv|medrxiv|cold spring harbor"))

@@ -306,3 +306,14 @@ def test_more_effect_forms(spark):
     sd = one.select(E.sd_from_p(*map(F.lit, (5.0, 30, 4.0, 30, 0.0502))).alias("s")).first().s
     assert sd == pytest.approx(1 / (2.0 * (2 / 30) ** 0.5), rel=1e-3)
     assert one.select(E.log_odds_half(*map(F.lit, (0, 10, 5, 5))).alias("e")).first().e.y < 0
+
+
+def test_xml_pages(spark):
+    pubmed = "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><Journal><JournalIssue><PubDate><Year>2001</Year></PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>A <i>b</i> trial</ArticleTitle><Abstract><AbstractText>One.</AbstractText><AbstractText>Two.</AbstractText></Abstract></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType=\"doi\">10.1234/X</ArticleId></ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>"
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><entry><id>http://arxiv.org/abs/1</id><published>2019-05-01</published><title>On\n  x</title><summary>S.</summary><arxiv:doi>10.1234/y</arxiv:doi></entry></feed>'
+    page = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    r = pages.xml_records_of(page(pubmed, "", None), "pubmed").collect()
+    assert [(x.source_id, x.title, x.doi, x.year, x.journal, x.abstract) for x in r] == [("7", "A b trial", "10.1234/x", 2001, "J", "One. Two.")]
+    r = pages.xml_records_of(page(atom, "no xml"), "arxiv").collect()
+    assert [(x.title, x.doi, x.year, x.abstract) for x in r] == [("On x", "10.1234/y", 2019, "S.")]
+    assert pages.preprints(spark.createDataFrame([("bioRxiv",), ("Other",), (None,)], "publisher string")).count() == 1
