@@ -3,7 +3,8 @@
 The lines of a report are labelled by a hidden Markov model with the states
 body, running (headers, footers, page numbers, stamps) and break (blank lines
 and page feeds).  Its observations are layout features of a line; its
-parameters are fitted by expectation-maximisation on a bounded sample.  Body
+parameters are fitted by expectation-maximisation on all reports: features are
+written once, a byte a line, and each round sums expectations over them.  Body
 lines are then rejoined into paragraphs: a mark at a line's end is dropped if
 the joined word is the usual one, and characters are restored where a word
 differs from a usual one only by shapes that scanners confuse.
@@ -12,7 +13,7 @@ differs from a usual one only by shapes that scanners confuse.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +25,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from revisio.operators.texts import HEADINGS
+from revisio.plans.lineage import written
 
-#: Reports the model is fitted on at most, chosen by a hash of their id.
-SAMPLE = 400
+#: Lines whose expectations are computed at a time, to bound memory; a longer report goes by itself.
+CELLS = 200_000
 #: A word is a usual one if at least this share of the reports has it.  Reports of D different words give at most D / USUAL such words, however many reports there are.
 USUAL = 0.004
 #: A word counts as a misreading of one that is this many times as frequent.
@@ -202,6 +204,19 @@ def observations(text: str, pages: int | None) -> tuple[list[str], np.ndarray]:
     return lines, x
 
 
+#: The features of each value of a byte.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int8)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The features of a text's lines, a byte a line."""
+    return np.packbits(x, axis=1).tobytes()
+
+
+def unpacked(seen: bytes) -> np.ndarray:
+    return _BITS[np.frombuffer(seen, np.uint8)]
+
+
 class LineModel:
     """A hidden Markov model of independent two-valued features."""
 
@@ -215,31 +230,60 @@ class LineModel:
         return x @ np.log(self.emit).T + (1 - x) @ np.log(1 - self.emit).T
 
     def fit(self, texts: list[np.ndarray], rounds: int = 8) -> "LineModel":
-        """Baum-Welch from the first guess, which counts as three times the data: states keep their meaning."""
+        """:meth:`fit_by` on texts at hand."""
+        seen = [packed(x) for x in texts]
+        return self.fit_by(lambda model: model.expected(seen), rounds)
+
+    def fit_by(self, expected: Callable[["LineModel"], np.ndarray], rounds: int = 8) -> "LineModel":
+        """Baum-Welch from the first guess, which counts as three times the data: states keep their meaning.
+
+        ``expected`` returns the sum of :meth:`expected` over all texts.
+        Parameters are rounded, so that the order of its terms doesn't matter.
+        """
         guess, turn = self.emit.copy(), np.exp(self.move)
         for _ in range(rounds):
-            on, n, moves, first = np.full(self.emit.shape, 0.05), np.full(3, 0.1), np.full((3, 3), 0.1), np.full(3, 0.1)
-            for x in texts:
-                b = self.seen(x)
-                a = np.empty_like(b)
-                a[0] = self.start + b[0]
-                for t in range(1, len(b)):
-                    a[t] = np.logaddexp.reduce(a[t - 1][:, None] + self.move, 0) + b[t]
-                z = np.zeros_like(b)
-                for t in range(len(b) - 2, -1, -1):
-                    z[t] = np.logaddexp.reduce(self.move + b[t + 1] + z[t + 1], 1)
-                total = np.logaddexp.reduce(a[-1])
-                g = np.exp(a + z - total)
-                first += g[0]
-                on += g.T @ x
-                n += g.sum(0)
-                if len(b) > 1:
-                    moves += np.exp(a[:-1, :, None] + self.move + (b[1:] + z[1:])[:, None, :] - total).sum(0)
+            on, n, moves, first = np.split(expected(self), [24, 27, 36])
+            on, n, moves, first = on.reshape(3, 8) + 0.05, n + 0.1, moves.reshape(3, 3) + 0.1, first + 0.1
             on, moves = on + 3 * n[:, None] * guess, moves + 3 * moves.sum(1, keepdims=True) * turn
-            self.emit = np.clip(on / (4 * n[:, None]), 1e-3, 1 - 1e-3)
-            self.move, self.start = np.log(moves / moves.sum(1, keepdims=True)), np.log(first / first.sum())
+            self.emit = np.clip(on / (4 * n[:, None]), 1e-3, 1 - 1e-3).round(9)
+            self.move, self.start = np.log(moves / moves.sum(1, keepdims=True)).round(9), np.log(first / first.sum()).round(9)
         return self
 
+    def expected(self, texts: list[bytes]) -> np.ndarray:
+        """Expected counts over texts of packed features, in one row: features by state (24), lines by state (3), moves (9), first states (3)."""
+        total = np.zeros(39)
+        texts = sorted(texts, key=len, reverse=True)
+        at = 0
+        while at < len(texts):
+            some = texts[at : at + max(1, CELLS // len(texts[at]))]
+            total += self._expected(some)
+            at += len(some)
+        return total
+
+    def _expected(self, texts: list[bytes]) -> np.ndarray:
+        """:meth:`expected` of texts by falling length, line by line of all of them; of probabilities scaled to a sum of 1 at each line."""
+        size = np.array([len(t) for t in texts])
+        byte = np.zeros((size[0], len(texts)), np.uint8)
+        for k, t in enumerate(texts):
+            byte[: len(t), k] = np.frombuffer(t, np.uint8)
+        live = len(texts) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")  # texts that have the line
+        move, start = np.exp(self.move), np.exp(self.start)
+        b = np.exp(self.seen(_BITS))[byte]
+        a, z = np.zeros_like(b), np.ones_like(b)
+        for t, k in enumerate(live):
+            v = (a[t - 1, :k] @ move if t else start) * b[t, :k]
+            scale = v.sum(1, keepdims=True)
+            a[t, :k] = v / scale
+            b[t, :k] /= scale
+            b[t, k:] = 0
+        for t in range(len(live) - 2, -1, -1):
+            k = live[t + 1]
+            z[t, :k] = (b[t + 1, :k] * z[t + 1, :k]) @ move.T
+        g = a * z
+        by_byte = np.stack([np.bincount(byte.ravel(), g[..., state].ravel(), 256) for state in range(3)])
+        moves = move * (a[:-1].reshape(-1, 3).T @ (b[1:] * z[1:]).reshape(-1, 3))
+        return np.concatenate([(by_byte @ _BITS).ravel(), by_byte.sum(1), moves.ravel(), g[0].sum(0)])
+
     def label(self, x: np.ndarray) -> np.ndarray:
         """The most likely states, by Viterbi."""
         b = self.seen(x)
@@ -352,9 +396,9 @@ def _cased(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() or (old[:1] in "1|5" and old[1:2].isupper()) else new
 
 
-def noisy_lines(text: str, pages: int | None, model: LineModel, words: Words) -> list[tuple[int, str]]:
-    """``(line, kind)`` of all noisy lines, counted from 1."""
-    lines, x = observations(text, pages)
+def noisy_lines(text: str, pages: int | None, model: LineModel, words: Words, seen: bytes | None = None) -> list[tuple[int, str]]:
+    """``(line, kind)`` of all noisy lines, counted from 1; ``seen``: the packed features, if they are known."""
+    lines, x = (text.split("\n"), unpacked(seen)) if seen else observations(text, pages)
     kinds = model.label(x)
     out = [(i + 1, "running") for i in np.flatnonzero(kinds == RUNNING)]
     own, shapes = own_words(lines, kinds)
@@ -386,14 +430,15 @@ def noisy_lines(text: str, pages: int | None, model: LineModel, words: Words) ->
     return out
 
 
-def repaired(text: str, pages: int | None, model: LineModel, words: Words, sections: dict[str, str | None] | None = None) -> list[tuple[str, str | None]]:
+def repaired(text: str, pages: int | None, model: LineModel, words: Words, sections: dict[str, str | None] | None = None, seen: bytes | None = None) -> list[tuple[str, str | None]]:
     """``(part, paragraphs)`` of the whole text ("full_text") and of each section, by its heading.
 
     Paragraphs are parted by an empty line; furniture is gone, words are
     rejoined and characters restored.  A section is found in the whole text and
     takes its labels from there; one that isn't in it is treated by itself.
+    ``seen``: the packed features of the whole text, if they are known.
     """
-    lines, x = observations(text, pages)
+    lines, x = (text.split("\n"), unpacked(seen)) if seen else observations(text, pages)
     kinds = model.label(x)
     own, shapes = own_words(lines, kinds)
     joins = _joined(lines, kinds, words, own)
@@ -469,14 +514,39 @@ def usual_words(docs: DataFrame, text_col: str = "full_text") -> dict[str, int]:
     return out
 
 
-def _fitted(docs: DataFrame, id_col: str, text_col: str, pages_col: str) -> tuple[LineModel, Words]:
-    some = docs.where(F.length(text_col) > 0).orderBy(F.xxhash64(id_col)).limit(SAMPLE).select(text_col, pages_col).collect()
-    model = LineModel().fit([observations(t, p)[1] for t, p in some])
-    return model, Words(usual_words(docs, text_col))
+def _observed(docs: DataFrame, columns: list[str], text_col: str, pages_col: str) -> DataFrame:
+    """``columns`` and ``_seen``, the packed features of the text's lines, of all rows; null without text.  Written: each round of the fit reads them, then the labels."""
+    some = docs.select(*columns)
+    schema = T.StructType([*some.schema.fields, T.StructField("_seen", T.BinaryType())])
+    text_at, pages_at = columns.index(text_col), columns.index(pages_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 64):
+                part = batch.slice(s, 64)
+                seen = [packed(observations(t, p)[1]) if t else None for t, p in zip(part.column(text_at).to_pylist(), part.column(pages_at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seen, pa.binary())], names=schema.names)
+
+    return written(some.mapInArrow(run, schema), "scans")
+
+
+def _line_model(seen: DataFrame) -> LineModel:
+    """The model fitted on all rows of ``_seen``; 39 sums a task and round reach the driver."""
+    texts = seen.where(F.col("_seen").isNotNull()).select("_seen")
+
+    def expected(model: LineModel) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((model.expected(batch.column(0).to_pylist()) for batch in batches), np.zeros(39))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+
+        return sum((np.array(r["total"]) for r in texts.mapInArrow(run, "total array<double>").collect()), np.zeros(39))
+
+    return LineModel().fit_by(expected)
 
 
-def _each(docs: DataFrame, columns: list[str], fitted_on: tuple[str, str, str], work, schema: T.StructType) -> DataFrame:  # noqa: ANN001
-    fitted = docs.sparkSession.sparkContext.broadcast(_fitted(docs, *fitted_on))
+def _each(docs: DataFrame, columns: list[str], text_col: str, pages_col: str, work, schema: T.StructType) -> DataFrame:  # noqa: ANN001
+    seen = _observed(docs, columns, text_col, pages_col)
+    fitted = docs.sparkSession.sparkContext.broadcast((_line_model(seen), Words(usual_words(seen, text_col))))
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,7 +557,7 @@ def _each(docs: DataFrame, columns: list[str], fitted_on: tuple[str, str, str],
                 rows = [r for row in zip(*(c.slice(s, 64).to_pylist() for c in batch.columns)) for r in work(*row, model, words)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return seen.mapInArrow(run, schema)
 
 
 def noise(docs: DataFrame, *, id_col: str = "pdf_id", text_col: str = "full_text", pages_col: str = "n_pages") -> DataFrame:
@@ -497,10 +567,10 @@ def noise(docs: DataFrame, *, id_col: str = "pdf_id", text_col: str = "full_text
     """
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("line_no", T.LongType()), T.StructField("kind", T.StringType())])
 
-    def work(i, t, p, model, words):  # noqa: ANN001, ANN202
-        return [(i, n, k) for n, k in noisy_lines(t, p, model, words)] if t and t.strip() else []
+    def work(i, t, p, seen, model, words):  # noqa: ANN001, ANN202
+        return [(i, n, k) for n, k in noisy_lines(t, p, model, words, seen)] if t and t.strip() else []
 
-    return _each(docs, [id_col, text_col, pages_col], (id_col, text_col, pages_col), work, out)
+    return _each(docs, [id_col, text_col, pages_col], text_col, pages_col, work, out)
 
 
 def paragraphs(docs: DataFrame, *, id_col: str = "pdf_id", text_col: str = "full_text", pages_col: str = "n_pages", sections_col: str | None = "sections") -> DataFrame:
@@ -508,10 +578,10 @@ def paragraphs(docs: DataFrame, *, id_col: str = "pdf_id", text_col: str = "full
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("part", T.StringType()), T.StructField("repaired", T.StringType())])
 
     def work(i, t, p, *rest):  # noqa: ANN001, ANN202
-        *sections, model, words = rest
+        *sections, seen, model, words = rest
         of = dict(sections[0]) if sections and sections[0] else {}
         if not t or not t.strip():
             return [(i, "full_text", t), *((i, h, x and x.strip() and repaired(x, None, model, words)[0][1] or x) for h, x in of.items())]
-        return [(i, part, x) for part, x in repaired(t, p, model, words, of)]
+        return [(i, part, x) for part, x in repaired(t, p, model, words, of, seen)]
 
-    return _each(docs, [id_col, text_col, pages_col, *([sections_col] if sections_col else [])], (id_col, text_col, pages_col), work, out)
+    return _each(docs, [id_col, text_col, pages_col, *([sections_col] if sections_col else [])], text_col, pages_col, work, out)

@@ -422,3 +422,39 @@ def test_confusions_that_others_hide_are_undone():
     read = "iincertain niitrition fiinction concliisions stuclies meclian hanclled clisputed".split()
     assert [words.right(w, collections.Counter(), {}) for w in read] == right
     assert [words.right(w, collections.Counter(), {}) for w in right] == [None] * len(right)
+
+
+def test_line_model_is_fitted_on_all_reports(spark):
+    rng = random.Random(5)
+    body = lambda n: [" ".join("".join(rng.choice("abcdefgmnoprst") for _ in range(6)) for _ in range(7)) for _ in range(n)]
+    stamped = "\n".join([*body(6), "Nightly Journal of Sleep 2019;12:345", *body(6)])
+    plain = ["\n".join(body(6)) for _ in range(400)]
+    signed = ["\n".join(x + " ©" * (k % 2) for k, x in enumerate(body(8))) for _ in range(100)]  # lines of body that read like stamps
+    # by the hash of the id, the plain reports come first
+    ids = [r.id for r in spark.range(500).orderBy(F.xxhash64("id")).collect()]
+    rows = [*zip(ids, plain + signed), (-1, stamped)]
+    d = spark.createDataFrame([(i, t, None) for i, t in rows], "pdf_id long, full_text string, n_pages int").repartition(5)
+    seen = [scans.observations(t, None)[1] for _, t in rows]
+    of_all, of_some = scans.LineModel().fit(seen), scans.LineModel().fit(seen[:400])
+    assert list(np.flatnonzero(of_some.label(seen[-1]) == scans.RUNNING)) == [6]
+    assert not (of_all.label(seen[-1]) == scans.RUNNING).any()
+    assert not scans.noise(d).where("pdf_id = -1 AND kind = 'running'").count()
+
+
+def test_expectations_by_length_are_those_of_each_text():
+    rng = np.random.default_rng(3)
+    model, texts = scans.LineModel(), [rng.integers(0, 2, (n, 8), np.int8) for n in (1, 7, 2, 7, 40, 1)]
+    assert (scans.unpacked(scans.packed(texts[1])) == texts[1]).all()
+    want = np.zeros(39)
+    for x in texts:
+        seen, move = np.exp(model.seen(x)), np.exp(model.move)
+        ahead, back = [np.exp(model.start) * seen[0]], [np.ones(3)]
+        for b in seen[1:]:
+            ahead.append(ahead[-1] @ move * b)
+        for b in seen[:0:-1]:
+            back.insert(0, move @ (b * back[0]))
+        g = np.array(ahead) * np.array(back) / ahead[-1].sum()
+        moves = sum((np.outer(ahead[t], seen[t + 1] * back[t + 1]) * move / ahead[-1].sum() for t in range(len(x) - 1)), np.zeros((3, 3)))
+        want += np.concatenate([(g.T @ x).ravel(), g.sum(0), moves.ravel(), g[0]])
+    assert np.allclose(model.expected([scans.packed(x) for x in texts]), want)
+    assert not model.expected([]).any()
